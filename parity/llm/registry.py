@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parity.llm import exact_dedup
+from parity.llm import byte_bpe, exact_dedup, language_id, simhash
 
-MODULES = (exact_dedup,)
+MODULES = (exact_dedup, byte_bpe, simhash, language_id)
 
 
 def queries() -> dict:
