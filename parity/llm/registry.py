@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parity.llm import byte_bpe, exact_dedup, language_id, simhash
+from parity.llm import byte_bpe, chat_format, exact_dedup, language_id, packing, secret_scan, simhash
 
-MODULES = (exact_dedup, byte_bpe, simhash, language_id)
+MODULES = (exact_dedup, secret_scan, packing, chat_format, byte_bpe, simhash, language_id)
 
 
 def queries() -> dict:
