@@ -1,0 +1,106 @@
+import hashlib
+import math
+import re
+from collections import Counter
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from parity.llm.secret_scan import ALLOW, CLASSES, WINDOW, op3_secret_scan, redact, secret_scan, window_entropy
+
+KINDS = ("assign", "access", "hex", "entropy")
+PATTERNS = (
+    re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII),
+    re.compile(r"AKIA[A-Z0-9]+"),
+    re.compile(r"[0-9a-f]+"),
+)
+
+
+def base(text):
+    out = []
+    for k, p in enumerate(PATTERNS):
+        for m in p.finditer(text):
+            if len(m[2] if k == 0 else m[0]) >= (6, 20, 24)[k]:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def entropy(value):
+    best = 0.0
+    for i in range(len(value) - WINDOW + 1):
+        n = Counter(value[i : i + WINDOW]).values()
+        best = max(best, -sum(c / WINDOW * math.log2(c / WINDOW) for c in n))
+    return best
+
+
+def more(text, found):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        v = m[0]
+        if len(v) < WINDOW or not re.search("[0-9]", v) or not re.search("[A-Za-z]", v) or any(re.search(a, v) for a in ALLOW):
+            continue
+        if any(s < m.end() and m.start() < e for s, _, e in found):
+            continue
+        least = next(b for p, b in CLASSES if re.search(p, v))
+        if entropy(v) >= least - 1e-9:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def joined(spans):
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+
+
+def want(text):
+    b = base(text or "")
+    n = Counter(k for _, k, _ in b)
+    return n[0], n[1], n[2], hashlib.sha256(joined(b).encode()).hexdigest(), joined(b + more(text or "", b))
+
+
+def rows(df):
+    return {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secret_scan(df).collect()}
+
+
+def test_against_brute_force(spark):
+    texts = [
+        None, "", "token=token:abcdef", "password=secret=abcdef", "Api_Key : 'x1y2z3w4'", "é token = \"" + "0a" * 20 + "\" x", "AKIA" * 8,
+        "AKIA" + "Z9" * 8 + " " + "f" * 24, "k=" + "Zx9Qw3Er7Ty1Ui5Op0As2D", "550e8400-e29b-41d4-a716-446655440000", "thereforeandtheotherand2",
+        "ab1" * 30, "x7Gq9ZpL2mT4vK8sR1wN6yB3/+_=" * 3 + "\n\U0001f600 secret: ab secret: abcdefg", "a" * 100_000 + "1 token=zzzzzz", "sample-x7Gq9ZpL2mT4vK8sR1wN6yB3",
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, secret_spans string")
+    assert rows(df) == {i: want(t) for i, t in enumerate(texts)}
+    assert secret_scan(df.limit(0)).count() == 0
+    assert secret_scan(df.union(df)).count() == 2 * len(texts)
+
+
+def test_generated_texts(spark):
+    atoms = st.sampled_from(["token", "=", "Secret", ":", " ", "AKIA", "A1B2C3D4E5F6G7H8", "deadbeef", "0123456789ab", "x9Q", "é", '"', "\n", "api_key", "zW7", "-", "/"])
+    texts = []
+
+    @settings(max_examples=120, database=None, deadline=None)
+    @given(st.lists(atoms, max_size=24))
+    def draw(x):
+        texts.append("".join(x))
+
+    draw()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(df) == {i: want(t) for i, t in enumerate(texts)}
+
+
+def test_window_entropy(spark):
+    values = ["a" * 30, "ab" * 20, "abcdefghijklmnopqrst", "x7Gq9ZpL2mT4vK8sR1wN6yB3", "short", "é" * 20 + "abc"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", window_entropy(F.col("v")).alias("h")).collect()
+    for r in got:
+        assert abs(r.h - entropy(r.v)) < 1e-9
+
+
+def test_redact_keeps_the_rest(spark):
+    df = spark.createDataFrame([(1, "a token=abcdef123 b " + "f" * 30, None), (2, None, "x"), (3, "plain", "y")], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in redact(df).orderBy("doc_id").collect()] == [(1, "a [SECRET] b [SECRET]", None), (2, None, "x"), (3, "plain", "y")]
+
+
+def test_query_over_the_whole_table(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in op3_secret_scan(spark, sf_dir).collect()}
+    assert got == {i: want(t) for i, t in docs.items()}
