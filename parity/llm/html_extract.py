@@ -190,7 +190,7 @@ class Page:
             tag_above[i] = max(tag_above[p], 1 if t in ("nav", "header", "footer", "aside", "form", "button") else 2 if t in ("head", "title") else 0)
             c = chars[i] or 1
             out[i, :N_NUMERIC] = (
-                depth[i], chars[i], links[i] / c, chars[i] / nodes[i], own[i], paragraphs[i], index[i], children[p] - index[i], children[p], same[p, tags[i]] / children[p],
+                depth[i], chars[i], links[i] / c, chars[i] / nodes[i], own[i], min(paragraphs[i], 30), min(index[i], 15), min(children[p] - index[i], 15), min(children[p], 30), same[p, tags[i]] / children[p],
                 stops[i] / c, before[i] / total, chars[i] / total, links[p] / (chars[p] or 1), tag_above[i],
             )
             k = _TAG_AT.get(tags[i])
@@ -288,7 +288,9 @@ class _Maker:
     def article(self) -> str:
         t, r = self.tag, self.r
         out = [t("h1", self.words(1, 14), 1)] if self.chance(0.85) else []
-        for _ in range(int(r.integers(1, 14)) if self.chance(0.9) else 0):
+        # some are very long, of short or of long paragraphs
+        long = self.chance(0.06)
+        for _ in range(int(r.integers(60, 300)) if long else int(r.integers(1, 14)) if self.chance(0.9) else 0):
             x = r.random()
             end = self.chance(0.85)
             if x < 0.68:
@@ -347,7 +349,7 @@ def labelled(source: str) -> tuple[Page, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def model(pages: int = 700, seed: int = 11) -> boosting.Trees:
+def model(pages: int = 600, seed: int = 11) -> boosting.Trees:
     """Trees fitted to ``pages`` made pages: the bound of the sample that they are learned from."""
     maker = _Maker(seed)
     x, y = zip(*((p.features()[1:], w[1:]) for p, w in (labelled(maker.page()) for _ in range(pages))))
