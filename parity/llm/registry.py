@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parity.llm import byte_bpe, chat_format, exact_dedup, html_extract, language_id, packing, secret_scan, simhash, topk_search
+from parity.llm import byte_bpe, chat_format, exact_dedup, html_extract, language_id, line_dedup, packing, secret_scan, simhash, topk_search
 
-MODULES = (exact_dedup, secret_scan, html_extract, packing, topk_search, chat_format, byte_bpe, simhash, language_id)
+MODULES = (exact_dedup, line_dedup, secret_scan, html_extract, packing, topk_search, chat_format, byte_bpe, simhash, language_id)
 
 
 def queries() -> dict:
