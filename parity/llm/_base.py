@@ -52,11 +52,19 @@ def materialize(df: DataFrame, codec: str = "zstd", partition_by: tuple[str, ...
 
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch tables. Call it when no DataFrame that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ..., so that names made here clash with none, and the old names."""
+    names = df.columns
+    return df.toDF(*[f"c{k}" for k in range(len(names))]), names
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

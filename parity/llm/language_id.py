@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parity.llm._base import as_bytes_or_empty, read, ship
+from parity.llm._base import as_bytes, as_bytes_or_empty, positional, read, ship
 
 #: Bytes of context. Contexts of 0, 1 and 2 bytes are kept, and escapes lead to the shorter one.
 DEPTH = 2
@@ -151,8 +151,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from parity.llm._base import as_bytes
-
         for batch in batches:
             found = [sent.value.predict(x) for x in as_bytes(batch.column(2))]
             lang, score, bits = zip(*found) if found else ((), (), ())
@@ -168,6 +166,22 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return identify(docs, learn(docs.where(~is_held_out(id_col)), lang_col, text_col), id_col, text_col)
 
 
+def keep_languages(docs: DataFrame, most_bits: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a learned language and takes less than ``most_bits`` bits a byte in
+    it. Rows whose text is null or has no letter go. Learns as ``language_id`` does; one more pass decides, without a shuffle."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~is_held_out(id_col)), lang_col, text_col))
+    flat, names = positional(docs)
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sent.value.predict(x) for x in as_bytes(batch.column(at))]
+            yield batch.filter(pa.array([lang != "und" and bits < most_bits for lang, _, bits in found], pa.bool_()))
+
+    return flat.mapInArrow(run, flat.schema).toDF(*names)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 

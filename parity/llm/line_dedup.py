@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parity.llm._base import as_bytes_or_empty, materialize, read, ship
+from parity.llm._base import as_bytes_or_empty, materialize, positional, read, ship
 
 #: Code points from which a line is compared with lines that aren't equal to it.
 LEAST = 20
@@ -116,8 +116,7 @@ _DOC = "nul int, doc long, k1 long"
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
     """All columns as c0, c1, ..., but the text packed, with the key of each row: its id, and a hash of its text."""
-    names = docs.columns
-    flat = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    flat, names = positional(docs)
     own, at = names.index(id_col), names.index(text_col)
     flat = flat.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
     kept = [f for f in flat.schema.fields if f.name != f"c{at}"]
@@ -222,8 +221,9 @@ def near_lines(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, least: int)
     return close.select("h1", "h2").distinct()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, counts: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, counts: bool = True, emptied: bool = True) -> DataFrame:
     """``docs`` with lines dropped that repeat, or nearly repeat, an earlier line; with ``counts`` also n_lines and n_dropped (long).
+    Rows that had lines and lose all of them stay only if ``emptied``.
 
     Lines end at \\n and are compared without ASCII white space at their ends; blank lines always stay and aren't counted. A line
     goes if an equal line stands earlier, or, from ``least`` code points on, a line within one edit (a code point inserted, deleted
@@ -268,7 +268,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts.append(b"\n".join(out))
                 n.append(sum(1 for p in parts if p.strip()))
                 gone.append(len(parts) - len(out))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [f.name for f in schema.fields])
+            out = pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [f.name for f in schema.fields])
+            yield out if emptied else out.filter(pa.array([not a or b < a for a, b in zip(n, gone)], pa.bool_()))
 
     done = joined.mapInArrow(rebuild, schema)
     columns = [F.col("text" if k == at else f"c{k}").alias(name) for k, name in enumerate(names)]

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parity.llm._base import read, ship
+from parity.llm._base import positional, read, ship
 
 #: Base patterns, leftmost and non-overlapping each. A match of ``assign`` counts where its second group has 6 characters or more;
 #: for the two others the least length is part of the pattern, which finds the same spans, as their runs are maximal.
@@ -143,8 +143,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each stretch of text that spans cover replaced by ``mask``; rows and other columns stay. Null stays null."""
-    found = scan(docs, text_col)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    flat, names = positional(docs)
+    own = f"c{names.index(text_col)}"
+    text = F.coalesce(F.col(own).cast("string"), F.lit(""))
     # Spans come by start; one that begins within what is already masked only carries the mask on.
     done = F.aggregate(
         F.col("secret_spans"),
@@ -155,8 +156,8 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
         ),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    new = F.when(F.size("secret_spans") > 0, done).otherwise(F.col(text_col))
-    return found.withColumn(text_col, new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    new = F.when(F.size("secret_spans") > 0, done).otherwise(F.col(own))
+    return scan(flat, own).withColumn(own, new).select(*flat.columns).toDF(*names)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

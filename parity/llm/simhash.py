@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parity.llm._base import as_bytes_or_empty, connected_components, materialize, read, ship
+from parity.llm._base import as_bytes_or_empty, connected_components, materialize, positional, read, ship
 
 SEED = 42
 #: Fingerprints link at so many differing bits, or fewer. Of two halves one then differs in at most one bit.
@@ -174,6 +174,12 @@ def near_links(fps: DataFrame) -> DataFrame:
     return placed.repartition(n, "anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare, "src long, dst long")
 
 
+def components(classes: DataFrame) -> DataFrame:
+    """(fp, root) for each of the distinct fingerprints of ``classes``."""
+    found = materialize(connected_components(near_links(classes.select("fp"))))
+    return classes.select("fp").join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -188,13 +194,35 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = materialize(fingerprints(docs, id_col, text_col, width))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comps = materialize(connected_components(near_links(classes.select("fp"))))
-    joined = classes.join(comps, classes.fp == comps.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    joined = classes.join(components(classes), "fp")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(by_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """``docs``, with all columns, less the rows that aren't the first of their component: that with the smallest doc_id (nulls
+    last), then the smallest hash of its text. Of rows alike in both one stays, whichever it is."""
+    ship(docs.sparkSession)
+    flat, names = positional(docs)
+    doc, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    key = F.struct(doc.isNull().alias("nul"), F.coalesce(doc.cast("long"), F.lit(0).cast("long")).alias("doc"), F.xxhash64(text).alias("k1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(x, width) for x in as_bytes_or_empty(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
+
+    rows = materialize(
+        flat.select(key.alias("key"), text.cast("string").alias("text")).mapInArrow(run, "key struct<nul:boolean,doc:bigint,k1:bigint>, fp long")
+        .groupBy("fp").agg(F.min("key").alias("key"))
+    )
+    first = rows.join(components(rows), "fp").groupBy("root").agg(F.min("key").alias("key")).select("key.*")
+    keyed = flat.select("*", key.alias("key")).select(*flat.columns, "key.*")
+    kept = keyed.join(first, ["nul", "doc", "k1"], "left_semi").dropDuplicates(["nul", "doc", "k1"])
+    return kept.select(*flat.columns).toDF(*names)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(read(spark, sf_dir, "documents"))
 

@@ -96,7 +96,7 @@ def test_window_entropy(spark):
 
 
 def test_redact_keeps_the_rest(spark):
-    df = spark.createDataFrame([(1, "a token=abcdef123 b " + "f" * 30, None), (2, None, "x"), (3, "plain", "y")], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(1, "a token=abcdef123 b " + "f" * 30, None), (2, None, "x"), (3, "plain", "y")], "doc_id long, text string, secret_spans string")
     assert [tuple(r) for r in redact(df).orderBy("doc_id").collect()] == [(1, "a [SECRET] b [SECRET]", None), (2, None, "x"), (3, "plain", "y")]
 
 
