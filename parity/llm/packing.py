@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,8 +25,8 @@ UNIT = 16
 #: Columns are sought until the best would save less than this share; the program is then within it of its optimum.
 GAP = 5e-4
 #: Words whose ids a worker remembers before it starts anew, and the longest that it remembers.
-REMEMBERED = 400_000
-LONGEST = 64
+REMEMBERED = 250_000
+LONGEST = 40
 
 # Pre-tokens of the vocabulary below U+0100, as bytes of Latin-1 in lower case. Characters whose treatment as white
 # space or case differs between libraries are left out; texts that hold them take the library's own way as a whole.
@@ -35,30 +36,50 @@ _SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LOW + rb"]+|[0-9\xb2\xb3\xb
 _PLAIN = re.compile(r"[^\t-\r \x21-\x7e\xa0-\xff]").search
 
 
+def _byte_characters() -> dict[int, str]:
+    """For each code point below U+0100: its UTF-8 bytes as the characters that byte-level vocabularies write for them, which are
+    the printable ones for themselves, and those from U+0100 on for the others in turn."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    written = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(written[b] for b in chr(c).encode()) for c in range(256)}
+
+
 class WordIds:
-    """Ids by the tokenizers library; pre-tokens of plain texts are encoded once and remembered as little-endian bytes."""
+    """Ids by the tokenizers library; pre-tokens of plain texts go to its model once and are remembered as little-endian bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.characters = _byte_characters()
         self.known: dict[bytes, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: bytes) -> bytes:
+        ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.characters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each whole text: its ids as unsigned 32-bit little-endian numbers."""
         cut = [None if _PLAIN(t) else _SPLIT.findall(t.lower().encode("latin-1")) for t in texts]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
         known = self.known
-        new = list({w for words in cut if words for w in words if w not in known})
-        found = dict(zip(new, self._library([w.decode("latin-1") for w in new])))
-        known.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
-        get = (known | found).__getitem__ if any(len(w) > LONGEST for w in new) else known.__getitem__
-        return [self._library([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut)]
+        if len(known) >= REMEMBERED:
+            known.clear()
+        new = [w for w in set().union(*(words for words in cut if words)) if w not in known]
+        for w in new:
+            known[w] = self._word(w)
+        get = known.__getitem__
+        out = [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut)]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
 
 @lru_cache(maxsize=2)
