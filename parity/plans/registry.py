@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from parity.plans import queries as own
+
 
 def queries() -> dict:
-    return {}
+    return dict(own.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(own.ORACLES)
