@@ -69,7 +69,7 @@ class FolderCatalogs(_Lookups):
         fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(where):
             return []
-        return sorted((p.getPath().getName(), p.getPath().toString()) for p in fs.listStatus(where) if p.getPath().getName()[:1] not in "._")
+        return sorted((p.getPath().getName(), p.getPath().toString()) for p in fs.listStatus(where) if not p.getPath().getName().startswith((".", "_")))
 
     def _root(self, catalog: str) -> str:
         return next(v for k, v in self.roots.items() if k.lower() == catalog.lower())

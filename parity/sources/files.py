@@ -34,7 +34,7 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     while it.hasNext():
         found.append(it.next().getPath().toString())
     below = where.toUri().getPath()
-    return sorted(f for f in found if not any(part[:1] in "._" for part in f.split(below, 1)[-1].strip("/").split("/")))
+    return sorted(f for f in found if not any(part.startswith((".", "_")) for part in f.split(below, 1)[-1].strip("/").split("/")))
 
 
 def _ending(path: str) -> str:
