@@ -103,7 +103,7 @@ def freeze(counts: list[tuple[str, int, int]]) -> Model:
     langs = sorted({x[0] for x in counts})
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"{len(langs)} languages; at most {MOST_LANGUAGES} can be learned")
-    seen = np.unique([x[1] & 255 for x in counts]).astype(np.int64) if counts else np.zeros(0, np.int64)
+    seen = np.unique([0, *(x[1] & 255 for x in counts)]).astype(np.int64)  # 0 also stands for what is before the text
     symbols = np.zeros(256, np.int64)
     symbols[seen] = np.arange(1, len(seen) + 1)
     a = len(seen) + 1
