@@ -16,8 +16,15 @@ from pyspark.sql import functions as F
 _WRITTEN: dict[str, list[str]] = {}
 
 
+#: About so many bytes go to a Python worker at a time, so that long texts need no more memory than short ones.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers that share this machine's files import the package; a cluster gets it by --py-files."""
+    """Let Python workers that share this machine's files import the package (a cluster gets it by --py-files), and bound their batches."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(limit).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(limit, BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
