@@ -107,13 +107,6 @@ def changed_rows(source: DataFrame, target: DataFrame, keys: Sequence[str], valu
     return classify(source, target, keys, values, null_safe).where(F.col("status") == MISMATCH).select(*_cols(keys))
 
 
-def one_per_key(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Of each key the row of the greatest strict hash, with that hash as __hash. For few keys: it moves whole rows."""
-    with_hash = df.select(*_cols([*keys, *values]), row_hash(df, values, strict=True).alias("__hash"))
-    picked = F.max_by(F.struct(*_cols(values), F.col("__hash")), F.col("__hash")).alias("__row")
-    return with_hash.groupBy(*_cols(keys)).agg(picked).select(*_cols(keys), "__row.*")
-
-
 def changed_cells(source: DataFrame, target: DataFrame, keys: Sequence[str], values: Sequence[str], of: DataFrame | None = None, tolerance: float = TOLERANCE, all_if_none: bool = True) -> DataFrame:
     """(keys, column, source_value, target_value, source_row_hash, target_row_hash): a row for each cell that differs.
 
@@ -121,17 +114,21 @@ def changed_cells(source: DataFrame, target: DataFrame, keys: Sequence[str], val
     its value columns, if ``all_if_none``.
     """
     of = changed_rows(source, target, keys, values) if of is None else of
-    hashed = {"source_row_hash": source, "target_row_hash": target}
-    s, t = (one_per_key(rows_for_keys(df, of, keys), keys, values) for df in hashed.values())
-    s = s.select(*_cols(keys), *[col(v).alias(f"__s{k}") for k, v in enumerate(values)], F.col("__hash").alias("source_row_hash"))
-    t = t.select(*[col(x).alias(f"__k{k}") for k, x in enumerate(keys)], *[col(v).alias(f"__t{k}") for k, v in enumerate(values)], F.col("__hash").alias("target_row_hash"))
-    on = reduce(lambda x, y: x & y, [col(x).eqNullSafe(F.col(f"__k{k}")) for k, x in enumerate(keys)])
-    kinds = [(source.schema[v].dataType, target.schema[v].dataType) for v in values]
+    frames = (source, target)
+    whole = [F.struct(*[col(v).alias(f"v{k}") for k, v in enumerate(values)], row_hash(df, values, strict=True).alias("hash")) for df in frames]
+    kinds = [df.select(w.alias("w")).schema["w"].dataType for df, w in zip(frames, whole)]
+    sides = [df.select(*_keyed(df, keys), *[(w if g == f else F.lit(None).cast(kind)).alias(n) for g, (n, kind) in enumerate(zip(("__s", "__t"), kinds))]) for f, (df, w) in enumerate(zip(frames, whole))]
+    # Both sides are stacked, so keys are looked up once, and of each key the row of the greatest hash stands for its side.
+    chosen = rows_for_keys(sides[0].unionByName(sides[1]), of, keys)
+    pairs = chosen.groupBy(*_cols(keys)).agg(*[F.max_by(n, f"{n}.hash").alias(n) for n in ("__s", "__t")]).where("__s is not null and __t is not null")
     cells = F.array(*[
-        F.struct(F.lit(v).alias("column"), F.col(f"__s{k}").cast("string").alias("source_value"), F.col(f"__t{k}").cast("string").alias("target_value"), differs(F.col(f"__s{k}"), F.col(f"__t{k}"), *kinds[k], tolerance).alias("differs"))
+        F.struct(
+            F.lit(v).alias("column"), F.col(f"__s.v{k}").cast("string").alias("source_value"), F.col(f"__t.v{k}").cast("string").alias("target_value"),
+            differs(F.col(f"__s.v{k}"), F.col(f"__t.v{k}"), source.schema[v].dataType, target.schema[v].dataType, tolerance).alias("differs"),
+        )
         for k, v in enumerate(values)
     ])
-    paired = s.join(t, on).select(*_cols(keys), "source_row_hash", "target_row_hash", cells.alias("cells"))
+    paired = pairs.select(*_cols(keys), F.col("__s.hash").alias("source_row_hash"), F.col("__t.hash").alias("target_row_hash"), cells.alias("cells"))
     found = F.filter("cells", lambda x: x["differs"])
     chosen = F.when(F.size(found) > 0, found).otherwise(F.col("cells")) if all_if_none else found
     exploded = paired.select(*_cols(keys), "source_row_hash", "target_row_hash", F.explode(chosen).alias("cell"))
