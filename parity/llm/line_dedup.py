@@ -61,22 +61,23 @@ def _mix(tag: bytes, sums: tuple[np.uint64, np.uint64]) -> tuple[int, int]:
     return _hash(tag, int(sums[0]).to_bytes(8, "little") + int(sums[1]).to_bytes(8, "little"))
 
 
-def window_keys(text: str) -> list[tuple[int, int]]:
-    """(key, place) of the variants without a window. Two lines within one edit share one: the shorter cuts its windows by its own
+def window_keys(line: bytes) -> list[tuple[int, int]]:
+    """(unsigned key, place) of the variants without a window. Two lines within one edit share one: the shorter cuts its windows by its own
     length (places 0 to WINDOWS - 1), and each line also cuts them as if it had one character less (the places after)."""
-    n, out = len(text), []
-    long = None
+    plain = line.isascii()
+    text = line if plain else line.decode()
+    n, out, long, digest = len(text), [], None, xxhash.xxh3_64_intdigest
     for less in (0, 1):
         base = n - less
+        cuts = [i * base // WINDOWS for i in range(WINDOWS + 1)]
         for i in range(WINDOWS):
-            a, rest = i * base // WINDOWS, base - (i + 1) * base // WINDOWS
-            tag = b"W%d,%d," % (base, i)
+            a, b = cuts[i], cuts[i + 1] + less  # in this line, its one character more is within the window
             if base <= LONG:
-                key = _hash(tag, (text[:a] + text[n - rest :] if rest else text[:a]).encode())[0]
+                part = text[:a] + text[b:]
+                key = digest(part if plain else part.encode(), base * WINDOWS + i)
             else:
-                long = long or _Sums(text)
-                at = np.array([a])
-                key = _mix(tag, tuple(s[0] for s in long.without(at, n - rest - a)))[0]
+                long = long or _Sums(line.decode())
+                key = _mix(b"W%d,%d," % (base, i), tuple(s[0] for s in long.without(np.array([a]), b - a)))[0] & 0xFFFFFFFFFFFFFFFF
             out.append((key, less * WINDOWS + i))
     return out
 
@@ -123,7 +124,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list
     schema = T.StructType([*kept, T.StructField("nul", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("packed", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column(own).cast(pa.int64())
             raw = batch.column(at)
@@ -159,14 +160,15 @@ def _window_rows(least: int):
             texts = as_bytes_or_empty(batch.column(1))
             for k in range(0, len(texts), 500):
                 lines = {s for t in texts[k : k + 500] for _, s in lines_of(t) if len(s) >= least}
-                out = []
+                keys, owners, places = [], [], []
                 for s in lines:
-                    text = s.decode()
-                    if len(text) >= least:
-                        h1 = _hash(b"L", s)[0]
-                        out += [(key, h1, place) for key, place in window_keys(text)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int32()])], ["key", "h1", "place"])
+                    if s.isascii() or len(s.decode()) >= least:
+                        own = window_keys(s)
+                        keys += [key for key, _ in own]
+                        places += [place for _, place in own]
+                        owners += [_hash(b"L", s)[0]] * len(own)
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(owners, pa.int64()), pa.array(places, pa.int32())], ["key", "h1", "place"])
 
     return run
 
@@ -263,7 +265,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     keyed, names = _keyed(docs, id_col, text_col)
     kept = (
-        firsts.join(materialize(near_lines(pair, keyed, firsts, least)), ["h1", "h2"], "left_anti")
+        firsts.join(near_lines(pair, keyed, firsts, least), ["h1", "h2"], "left_anti")
         .groupBy("nul", "doc", "k1")
         .agg(F.collect_list("line").alias("lines"))
     )

@@ -74,13 +74,13 @@ def test_long_lines_use_sums_and_agree(monkeypatch):
         sums = L._Sums(a)
         for b in texts:
             if len(a) <= len(b) and a != b:
-                keys = {k for k, p in L.window_keys(a)} & {k for k, p in L.window_keys(b)}
+                keys = {k for k, p in L.window_keys(a.encode())} & {k for k, p in L.window_keys(b.encode())}
                 assert bool(keys) or not within_one(a, b)
         assert sums.n == len(a)
     docs = [(k, t) for k, t in enumerate(texts)]
     got = {}
     for k, t in docs:  # the parts that run in workers, with the changed bound
-        places = {p for _, p in L.window_keys(t)}
+        places = {p for _, p in L.window_keys(t.encode())}
         got[k] = L.deletions(t, places)
     same = {k: {(x, y) for x, y, r in v if r == 2} for k, v in got.items()}
     less = {k: {(x, y) for x, y, r in v if r == 1} for k, v in got.items()}
