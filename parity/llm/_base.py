@@ -47,12 +47,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` below the shared scratch folder and read it back: cuts lineage, and survives lost executors."""
+def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Write ``df`` below the shared scratch folder and read it back: cuts lineage, and survives lost executors.
+
+    ``narrow``, for tables of short rows: four tasks a core write it at most, each several partitions in turn, as each file costs a few processes
+    and calls to the store whatever its size.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/parity-{uuid.uuid4().hex}"
-    out = df.write.option("compression", codec)
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+    (df.coalesce(4 * max(2, spark.sparkContext.defaultParallelism)) if narrow else df).write.option("compression", "zstd").parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -98,7 +101,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return row["n"], row["h"]
 
     e = materialize(
-        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), narrow=True
     )
     before = signature(e)
     for _ in range(most_rounds):
@@ -115,7 +118,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .unionByName(lowest.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = materialize(small)
+        e = materialize(small, narrow=True)
         now = signature(e)
         if now == before:
             break

@@ -240,7 +240,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     spark = ship(docs.sparkSession)
     units = CAPACITY // UNIT
     made = materialize(pieces(docs, path, id_col, text_col))
-    counted = materialize(made.groupBy("class", "part").agg(F.count("*").alias("n")))
+    counted = made.groupBy("class", "part").agg(F.count("*").alias("n"))
     histogram = np.zeros(units, np.int64)
     for row in counted.groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most CAPACITY / UNIT rows
         histogram[row["class"] - 1] = row["n"]

@@ -176,7 +176,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 def components(classes: DataFrame) -> DataFrame:
     """(fp, root) for each of the distinct fingerprints of ``classes``."""
-    found = materialize(connected_components(near_links(classes.select("fp"))))
+    found = materialize(connected_components(near_links(classes.select("fp"))), narrow=True)
     return classes.select("fp").join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
