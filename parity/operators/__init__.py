@@ -1,0 +1 @@
+"""DataFrame to DataFrame, one function an operator."""

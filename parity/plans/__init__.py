@@ -1,0 +1 @@
+"""Queries over the operators, the engine that runs them, and verdicts."""

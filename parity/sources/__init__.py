@@ -1,0 +1 @@
+"""Files and catalogs."""

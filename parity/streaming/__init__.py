@@ -1,0 +1 @@
+"""Empty: the engine compares tables at rest, and has no operators on streams."""
