@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parity.llm._base import as_bytes_or_empty, connected_components, materialize, positional, read, ship
+from parity.llm.set_join import similar_texts
 
 SEED = 42
 #: Fingerprints link at so many differing bits, or fewer. Of two halves one then differs in at most one bit.
@@ -202,7 +203,8 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``docs``, with all columns, less the rows that aren't the first of their component: that with the smallest doc_id (nulls
-    last), then the smallest hash of its text. Of rows alike in both one stays, whichever it is."""
+    last), then the smallest hash of its text. Of rows alike in both one stays, whichever it is. Rows link where fingerprints
+    differ in at most 3 bits, or where the sets of their shingles have a Jaccard similarity of 0.8 or more."""
     ship(docs.sparkSession)
     flat, names = positional(docs)
     doc, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
@@ -213,11 +215,21 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             fps = [fingerprint(x, width) for x in as_bytes_or_empty(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
 
-    rows = materialize(
-        flat.select(key.alias("key"), text.cast("string").alias("text")).mapInArrow(run, "key struct<nul:boolean,doc:bigint,k1:bigint>, fp long")
-        .groupBy("fp").agg(F.min("key").alias("key"))
-    )
-    first = rows.join(components(rows), "fp").groupBy("root").agg(F.min("key").alias("key")).select("key.*")
+    made = materialize(flat.select(key.alias("key"), text.cast("string").alias("text")).mapInArrow(run, "key struct<nul:boolean,doc:bigint,k1:bigint>, fp long"))
+    rows = made.groupBy("fp").agg(F.min("key").alias("key"))
+    by_text = made.groupBy(F.col("key.k1").alias("d")).agg(F.min("fp").alias("fp"))
+    by_bits = materialize(near_links(rows.select("fp")), narrow=True)
+
+    def joined(links: DataFrame) -> DataFrame:
+        """(fp, root), by fingerprints and by links of texts."""
+        ends = by_text.select(F.col("d").alias("e"), F.col("fp").alias("dst"))
+        by_sets = links.join(by_text, "d").join(ends, "e").select(F.col("fp").alias("src"), "dst")
+        found = materialize(connected_components(by_bits.unionByName(by_sets)), narrow=True)
+        return rows.select("fp").join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+    texts = flat.select(F.xxhash64(text).alias("d"), text.cast("string").alias("text"))
+    links = similar_texts(texts, width, lambda x: by_text.join(joined(x), "fp").select("d", F.col("root").alias("label")))
+    first = rows.join(joined(links), "fp").groupBy("root").agg(F.min("key").alias("key")).select("key.*")
     keyed = flat.select("*", key.alias("key")).select(*flat.columns, "key.*")
     kept = keyed.join(first, ["nul", "doc", "k1"], "left_semi").dropDuplicates(["nul", "doc", "k1"])
     return kept.select(*flat.columns).toDF(*names)
