@@ -20,11 +20,11 @@ _ATTR = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _STOP = re.compile(r"[.!?;:,]")
 
-#: Elements whose content is never text of the page.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select".split())
+#: Elements whose content is never text of the page. Without an end tag, script and style reach to the end of the page; the others are passed over.
+RAW = frozenset("script style template textarea select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements within a line: they make no node, and text goes on through them.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var math mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
 #: What an opening tag closes if it is the innermost open element of these.
 CLOSES = {x: frozenset(("p",)) for x in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()} | {
     "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("tr", "td", "th", "p")),
@@ -103,14 +103,14 @@ class Page:
                             break
                 continue
             if name in RAW:
-                if m[0].endswith("/>") and name in ("svg", "math"):
-                    continue
                 lower = lower or source.lower()
                 if len(lower) != len(source):  # some characters change length in lower case
                     end = re.compile("</" + name, re.I).search(source, at)
                     end = end.start() if end else -1
                 else:
                     end = lower.find("</" + name, at)
+                if end < 0 and name not in ("script", "style"):
+                    continue
                 if end < 0:
                     break
                 at = source.find(">", end) + 1 or len(source)
@@ -131,7 +131,8 @@ class Page:
             while closes and self.tags[stack[-1]] in closes:
                 stack.pop()
             self._add(name, stack[-1], self._words(m[3]))
-            stack.append(len(self.tags) - 1)
+            if not (name == "svg" and m[0].endswith("/>")):
+                stack.append(len(self.tags) - 1)
         close()
 
     def _add(self, tag: str, parent: int, groups: tuple[int, ...]) -> None:

@@ -49,6 +49,16 @@ def test_parsing_of_broken_markup():
     assert H.Page("<script>never closed").text(np.ones(1, bool)) == ""
 
 
+def test_only_scripts_styles_templates_and_controls_are_dropped_by_name():
+    text = lambda source: (p := H.Page(source)).text(np.ones(len(p.tags), bool))
+    assert text("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.<video>No video.</video><p>b<svg/>c") == "So x=2 holds.\nNo video.\nb\nc"
+    for name in ("svg", "object", "canvas", "audio", "iframe", "noscript"):
+        assert text(f"<div>a<{name}>b</{name}>c</div>") == "a\nb\nc" and text(f"<p>a<{name}>b<p>c") == "a\nb\nc"
+    for name in ("template", "textarea", "select"):
+        assert text(f"<p>a<{name}>b</{name}>c") == "ac" and text(f"<p>a<{name}><p>c") == "a\nc"
+    assert text("<p>a<style>b<p>c") == text("<p>a<script>b<p>c") == "a"
+
+
 def test_edges(spark):
     long = "<article>" + "".join(f"<p>Thing number {k}, said here.</p>" for k in range(20_000)) + "</article>"
     df = spark.createDataFrame([(1, "u", None, 0), (2, None, "", 0), (3, "u", long, 1), (3, "u", long, 1)], "page_id long, url string, html string, text int")
