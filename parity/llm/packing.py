@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parity.llm._base import materialize, read, ship
+from parity.llm._base import as_bytes_or_empty, materialize, read, ship
 from parity.llm._vocab import LETTERS, vocabulary
 
 #: Tokens of a sequence, and the id that closes each document.
@@ -24,16 +26,37 @@ END_ID = 1
 UNIT = 16
 #: Columns are sought until the best would save less than this share; the program is then within it of its optimum.
 GAP = 5e-4
-#: Words whose ids a worker remembers before it starts anew, and the longest that it remembers.
-REMEMBERED = 250_000
+#: Words, and pre-tokens, whose ids a worker remembers at least, and the longest that it remembers.
+REMEMBERED = 300_000
 LONGEST = 40
 
-# Pre-tokens of the vocabulary below U+0100, as bytes of Latin-1 in lower case. Characters whose treatment as white
-# space or case differs between libraries are left out; texts that hold them take the library's own way as a whole.
+# Normaliser and pre-tokenizer of the files whose pre-tokens are made here. Their tokens never hold or look across white space.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# The same below U+0100, as bytes of Latin-1 in lower case. Characters whose treatment as white space or case differs between
+# libraries are left out; words that hold them take the library's own way.
 _LOW = LETTERS.replace("A-Z", "").replace(r"\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\xdf-\xf6\xf8-\xff").encode("latin-1")
 _SPACE = rb"\t-\r \xa0"
-_SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LOW + rb"]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^" + _SPACE + _LOW + rb"0-9\xb2\xb3\xb9\xbc-\xbe]+")
-_PLAIN = re.compile(r"[^\t-\r \x21-\x7e\xa0-\xff]").search
+_SPLIT = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|[" + _LOW + rb"]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^" + _SPACE + _LOW + rb"0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
+_ODD = re.compile(r"[^\t-\r \x21-\x7e\xa0-\xff]").search
+#: Stands between words whose pre-tokens are looked up together, and the id, which no vocabulary has, that it gives.
+_END, _END_MARK = b"\n", 0xFFFFFFFF
+
+
+def has_known_form(path: str) -> bool:
+    """Whether the file's normaliser and pre-tokenizer are those above, so that the ids of a text are those of its words, one after the other."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    normalizer, steps = t.get("normalizer") or {}, (t.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first, rest = steps[0], steps[1:]
+    return (
+        normalizer.get("type") == "Sequence" and normalizer["normalizers"] == _NORMALIZER
+        and first.get("type") == "Split" and first.get("pattern") == {"Regex": _PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+        and [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+        and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or len(a["content"].split()) != 1 for a in t["added_tokens"])
+        and t["model"].get("dropout") is None
+    )
 
 
 def _byte_characters() -> dict[int, str]:
@@ -45,40 +68,84 @@ def _byte_characters() -> dict[int, str]:
     return {c: "".join(written[b] for b in chr(c).encode()) for c in range(256)}
 
 
+class Remembered:
+    """Values of keys, kept for the last REMEMBERED new keys at least, and for twice as many (and those of one call) at most."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]]):
+        self.make, self.known, self.older = make, {}, {}
+
+    def of(self, keys: list[bytes]) -> list[bytes]:
+        known, older, new = self.known, self.older, {}
+        values = list(map(known.get, keys))
+        missing = [i for i, v in enumerate(values) if v is None]
+        for i in missing:
+            if (value := older.get(keys[i])) is None:
+                new[keys[i]] = b""
+            else:
+                known[keys[i]] = value
+        new = dict(zip(new, self.make(list(new))))
+        for i in missing:
+            key = keys[i]
+            values[i] = new[key] if key in new else known[key]
+        known.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
+        if len(known) >= REMEMBERED:
+            self.known, self.older = {}, known
+        return values
+
+
 class WordIds:
-    """Ids by the tokenizers library; pre-tokens of plain texts go to its model once and are remembered as little-endian bytes."""
+    """Ids by the tokenizers library, as unsigned 32-bit little-endian numbers. Of files of the known form, words between white space and
+    their pre-tokens are remembered, and the library's model is asked for new pre-tokens only."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.characters = _byte_characters()
-        self.known: dict[bytes, bytes] = {}
-
-    def _word(self, word: bytes) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.characters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.known_form = has_known_form(path)
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
+        self.words, self.pieces = Remembered(self._words), Remembered(self._pieces)
 
-    def _whole(self, text: str) -> bytes:
+    def _library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each whole text: its ids as unsigned 32-bit little-endian numbers."""
-        cut = [None if _PLAIN(t) else _SPLIT.findall(t.lower().encode("latin-1")) for t in texts]
-        known = self.known
-        if len(known) >= REMEMBERED:
-            known.clear()
-        new = [w for w in set().union(*(words for words in cut if words)) if w not in known]
-        for w in new:
-            known[w] = self._word(w)
-        get = known.__getitem__
-        out = [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut)]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        of, ids, ends = self.model.tokenize, [], []
+        for piece in pieces:
+            if piece == _END:
+                ids.append(_END_MARK)
+            else:
+                ids += [t.id for t in of(piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.characters))]
+            ends.append(4 * len(ids))
+        whole = np.array(ids, "<u4").tobytes()
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        whole = b"\n".join(words).decode("utf-8", "replace")
+        own: dict[int, bytes] = {}
+        if _ODD(whole) or self.added(whole):
+            texts = whole.split("\n")
+            own = {k: self._library(t) for k, t in enumerate(texts) if _ODD(t) or self.added(t)}
+            whole = "\n".join([t for k, t in enumerate(texts) if k not in own])
+        joined = b"".join(self.pieces.of(_SPLIT(whole.lower().encode("latin-1"))))
+        ends = np.flatnonzero(np.frombuffer(joined, "<u4") == _END_MARK) * 4
+        plain = [joined[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(joined)])]
+        if not own:
+            return plain[: len(words)]
+        rest = iter(plain)
+        return [own[k] if k in own else next(rest) for k in range(len(words))]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Of each whole text: its ids."""
+        if not self.known_form:
+            return [self._library(t.decode("utf-8", "replace")) for t in texts]
+        cut = [t.split() for t in texts]
+        ids, at, out = self.words.of(list(chain.from_iterable(cut))), 0, []
+        for words in cut:
+            out.append(b"".join(ids[at : at + len(words)]))
+            at += len(words)
         return out
 
 
@@ -102,10 +169,10 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         end = np.array([END_ID], "<u4").tobytes()
         names = [x.split(" ")[0] for x in _PIECES.split(", ")]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), as_bytes_or_empty(batch.column(1))
             for k in range(0, len(texts), 256):
                 out = []
-                for doc, raw in zip(ids[k : k + 256], coder.encode([t or "" for t in texts[k : k + 256]])):
+                for doc, raw in zip(ids[k : k + 256], coder.encode(texts[k : k + 256])):
                     raw = memoryview(raw + end)
                     n = len(raw) // 4
                     for start in range(0, n, CAPACITY):

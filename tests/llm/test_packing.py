@@ -1,4 +1,6 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -7,22 +9,52 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from parity.llm.packing import CAPACITY, UNIT, _coder, _inverse, op5_packing, pack, solve
+import parity.llm.packing as P5
+from parity.llm.packing import CAPACITY, UNIT, WordIds, _coder, _inverse, has_known_form, op5_packing, pack, solve
 
 PATH = P.path("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(max_size=60) | st.text(st.characters(max_codepoint=255), max_size=60) | st.text("ab'sdlreVE Ñß\t\n\xa0²½µ7!.-", max_size=60))
+@given(
+    st.text(max_size=60)
+    | st.text(st.characters(max_codepoint=255), max_size=60)
+    | st.text("ab'sdlreVE Ñß\t\n\x0b\x0c\x1c\x85\u2028\xa0\u0301\u0338²½µ7!.-<=ΣİK", max_size=60)
+    | st.lists(st.sampled_from(["<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", " ", "\n", "a", "endoftext", "É"]), max_size=12).map("".join)
+)
 def test_same_ids_as_the_library(library, text):
-    assert np.frombuffer(_coder(PATH).encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(_coder(PATH).encode([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_go_to_the_library_whole(tmp_path):
+    assert has_known_form(PATH) and _coder(PATH).known_form
+    changed = json.loads(Path(PATH).read_text())
+    changed["pre_tokenizer"] = None
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(changed))
+    assert not has_known_form(str(other))
+    text = "two words\nand more"
+    assert np.frombuffer(WordIds(str(other)).encode([text.encode()])[0], "<u4").tolist() == Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(P5, "REMEMBERED", 10)
+    asked = []
+    r = P5.Remembered(lambda keys: asked.extend(keys) or [k * 2 for k in keys])
+    keys = [b"%d" % (k % 7) for k in range(50)] + [b"%d" % k for k in range(40)] + [b"x" * 100]
+    assert [r.of([k])[0] for k in keys] == [k * 2 for k in keys] and len(r.known) <= 10 and len(r.older) <= 10 and len(asked) == 41
+    assert r.of([b"x" * 100, b"1", b"x" * 100]) == [b"x" * 200, b"11", b"x" * 200]
+
+
+def test_added_tokens_as_the_library(spark, library):
+    texts = {1: "hello <|endoftext|> there", 2: "<|startoftext|><|endoftext|>", 3: "x<|endoftext|>y <|ENDOFTEXT|>"}
+    check(pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), PATH).collect(), texts, library)
+    assert np.frombuffer(_coder(PATH).encode([b"hello <|endoftext|> there"])[0], "<u4").tolist() == [3306, 49407, 997]
 
 
 def test_patterns_cover_the_histogram_and_fit():

@@ -74,7 +74,6 @@ def test_packing(stages):
     from parity.llm._vocab import vocabulary
 
     library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     assert check_packing(stages[5], {r.doc_id: r.text for r in stages[4]}, library) > 0.9
 
 
