@@ -3,107 +3,106 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parity.llm._base import as_bytes_or_empty, materialize, positional, read, ship
+from parity.llm._base import as_bytes, as_bytes_or_empty, materialize, positional, read, ship
 
-#: Code points from which a line is compared with lines that aren't equal to it.
-LEAST = 20
 #: Windows into which a line is cut: a line first emits its variants without a whole window, and single deletions only
 #: within windows in which it agrees with another line outside.
 WINDOWS = 4
-#: Base lengths above this are hashed by prefix sums, so that all variants of a line take time in proportion to its length.
-LONG = 2048
+#: About so many code points are hashed at a time; a longer line is hashed as a whole, in memory in proportion to its length.
+CHUNK = 1 << 18
+#: Slots in which a task remembers lines whose variants it has emitted. What is forgotten is emitted again, and nothing else.
+SLOTS = 1 << 20
 
-_MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+_U = np.uint64
+_MULTIPLIERS = (_U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> _U(shift))) * _U(factor)
+    return x ^ (x >> _U(31))
 
 
-def _hash(tag: bytes, data: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(tag + data)
-    return _signed(h >> 64), _signed(h & 0xFFFFFFFFFFFFFFFF)
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """A random number for each code point."""
+    return _mixed(np.arange(1, 0x110001, dtype=np.uint64))
 
 
-class _Sums:
-    """Hashes of a long line without a stretch of it, two numbers each, in constant time a stretch."""
+@lru_cache(maxsize=4)
+def _powers(which: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a multiplier and of its inverse, 2^bits of them."""
+    m = _MULTIPLIERS[which]
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full((1 << bits) - 1, x, np.uint64))]) for x in (m, _U(pow(int(m), -1, 1 << 64))))
 
-    def __init__(self, text: str):
-        x = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
-        with np.errstate(over="ignore"):
-            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-            self.n = len(x)
-            self.sums, self.inverse = [], []
-            for m in _MULTIPLIERS:
-                powers = np.cumprod(np.full(self.n, m, np.uint64))
-                self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers, dtype=np.uint64)]))
-                self.inverse.append(pow(int(m), -1, 1 << 64))
 
-    def without(self, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        with np.errstate(over="ignore"):
-            for s, inv in zip(self.sums, self.inverse):
-                out.append(s[start] + (s[self.n] - s[start + length]) * np.uint64(pow(inv, length, 1 << 64)))
-        return out[0], out[1]
+class Hashes:
+    """Hashes of stretches of a text (code points), by prefix sums: any stretch, or two joined to one, in constant time."""
 
+    def __init__(self, code_points: np.ndarray, which: int):
+        self.power, self.inverse = _powers(which, max(18, int(len(code_points)).bit_length()))
+        self.sums = np.zeros(len(code_points) + 1, np.uint64)
+        np.cumsum(_letters()[code_points] * self.power[: len(code_points)], out=self.sums[1:])
 
-def _mix(tag: bytes, sums: tuple[np.uint64, np.uint64]) -> tuple[int, int]:
-    return _hash(tag, int(sums[0]).to_bytes(8, "little") + int(sums[1]).to_bytes(8, "little"))
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
+    def without(self, start: np.ndarray, a: np.ndarray, b: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of start to end without a to b, as if that were one stretch."""
+        return self.of(start, a) + self.of(b, end) * self.power[a - start]
 
-def window_keys(line: bytes) -> list[tuple[int, int]]:
-    """(unsigned key, place) of the variants without a window. Two lines within one edit share one: the shorter cuts its windows by its own
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def cuts(n: np.ndarray, less: int, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a window of lines of n code points begins and ends, if they are cut as if they had ``less`` code points fewer."""
+    base = n - less
+    return place * base // WINDOWS, (place + 1) * base // WINDOWS + less
+
+
+def window_keys(hashes: Hashes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A row a line: keys of its variants without a window. Two lines within one edit share one: the shorter cuts its windows by its own
     length (places 0 to WINDOWS - 1), and each line also cuts them as if it had one character less (the places after)."""
-    plain = line.isascii()
-    text = line if plain else line.decode()
-    n, out, long, digest = len(text), [], None, xxhash.xxh3_64_intdigest
+    n = end - start
+    out = np.empty((len(n), 2 * WINDOWS), np.uint64)
     for less in (0, 1):
-        base = n - less
-        cuts = [i * base // WINDOWS for i in range(WINDOWS + 1)]
         for i in range(WINDOWS):
-            a, b = cuts[i], cuts[i + 1] + less  # in this line, its one character more is within the window
-            if base <= LONG:
-                part = text[:a] + text[b:]
-                key = digest(part if plain else part.encode(), base * WINDOWS + i)
-            else:
-                long = long or _Sums(line.decode())
-                key = _mix(b"W%d,%d," % (base, i), tuple(s[0] for s in long.without(np.array([a]), b - a)))[0] & 0xFFFFFFFFFFFFFFFF
-            out.append((key, less * WINDOWS + i))
+            a, b = cuts(n, less, i)
+            key = hashes.without(start, start + a, start + b, end)
+            out[:, less * WINDOWS + i] = _mixed(key ^ _mixed(((n - less) * WINDOWS + i).astype(np.uint64)))
     return out
 
 
-def deletions(text: str, places: set[int]) -> set[tuple[int, int, int]]:
-    """(hash, hash, role): the line as it is (0), without one character of a window (1), and the same with its place marked (2)."""
-    n = len(text)
-    out = set()
-
-    def itself(base: int) -> tuple[int, int]:
-        return _hash(b"D", text.encode()) if base <= LONG else _mix(b"D", tuple(s[0] for s in _Sums(text).without(np.array([n]), 0)))
-
-    out.add((*itself(n), 0))
-    long = None
-    for place in places:
-        less, i = divmod(place, WINDOWS)
-        base = n - less
-        a, b = i * base // WINDOWS, (i + 1) * base // WINDOWS
-        at = range(a, min(b + 1, n)) if less else range(a, b)
-        if base > LONG:
-            long = long or _Sums(text)
-            s = long.without(np.arange(at.start, at.stop), 1)
-        for k, p in enumerate(at):
-            tag = b"D" if less else b"S%d," % p
-            h = _hash(tag, (text[:p] + text[p + 1 :]).encode()) if base <= LONG else _mix(tag, (s[0][k], s[1][k]))
-            out.add((*h, 1 if less else 2))
+def deletions(text: str, places: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(hashes, hashes, role): the line as it is (0), without one character of a window (1), and the same with its place marked (2).
+
+    ``places`` has a bit for each window."""
+    x = code_points(text)
+    n = len(x)
+    both = [Hashes(x, k) for k in (0, 1)]
+    start, end = np.zeros(1, np.int64), np.full(1, n)
+    out = [(*(h.of(start, end) for h in both), 0)]
+    for less, role in ((0, 2), (1, 1)):
+        held = np.zeros(n, bool)
+        for i in range(WINDOWS):
+            if places >> (less * WINDOWS + i) & 1:
+                a, b = cuts(n, less, i)
+                held[a:b] = True
+        p = np.flatnonzero(held)
+        if len(p):
+            v = [h.without(start, p, p + 1, end) for h in both]
+            out.append((*(_mixed(x ^ _mixed(p.astype(np.uint64) + _U(1))) if role == 2 else x for x in v), role))
     return out
 
 
@@ -112,84 +111,112 @@ def lines_of(text: bytes) -> list[tuple[int, bytes]]:
     return [(k, s) for k, line in enumerate(text.split(b"\n")) if (s := line.strip())]
 
 
-_DOC = "nul int, doc long, k1 long"
+_LINES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("h1", "h2", "own")), T.StructField("nul", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("doc", "k1")), T.StructField("line", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    """All columns as c0, c1, ..., but the text packed, with the key of each row: its id, and a hash of its text."""
-    flat, names = positional(docs)
-    own, at = names.index(id_col), names.index(text_col)
-    flat = flat.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
-    kept = [f for f in flat.schema.fields if f.name != f"c{at}"]
-    schema = T.StructType([*kept, T.StructField("nul", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("packed", T.BinaryType())])
+def _lines(least: int):
+    """Of (nul, doc, k1, text): each different line of a document with its 128-bit hash and its place. Where the task hasn't
+    met the line lately, also the keys of its variants without a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        digest, met = xxhash.xxh3_128_digest, np.zeros(SLOTS, np.uint64)
+        shift = _U(64 - (SLOTS.bit_length() - 1))
+        lines: list[bytes] = []
+        digests: list[bytes] = []
+        places: list[tuple[int, int, int, int]] = []
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            x = code_points(b"\n".join(lines).decode("utf-8", "replace"))
+            breaks = np.flatnonzero(x == 10)
+            start, end = np.r_[0, breaks + 1], np.r_[breaks, len(x)]
+            hashes = Hashes(x, 0)
+            own = _mixed(hashes.of(start, end) ^ _mixed((end - start).astype(np.uint64)))
+            first = np.zeros(len(own), bool)
+            first[np.unique(own, return_index=True)[1]] = True
+            slot = (own >> shift).astype(np.int64)
+            told = first & (met[slot] != own) & (end - start >= least)
+            met[slot[told]] = own[told]
+            keys = window_keys(hashes, start[told], end[told]).view(np.int64).ravel()
+            offsets = np.r_[0, np.cumsum(told * 2 * WINDOWS)].astype(np.int32)
+            nulls = pa.array(np.r_[~told, False])
+            listed = pa.ListArray.from_arrays(pa.array(offsets, mask=nulls.to_numpy(zero_copy_only=False)), pa.array(keys))
+            h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            nul, doc, k1, number = (np.array(c, np.int64) for c in zip(*places))
+            columns = [h[:, 0], h[:, 1], own.view(np.int64), nul.astype(np.int32), doc, k1, number.astype(np.int32)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), listed], _LINES.names)
+
         for batch in batches:
-            ids = batch.column(own).cast(pa.int64())
-            raw = batch.column(at)
-            texts = as_bytes_or_empty(raw)
-            packed = [None if null else packer.compress(t) for t, null in zip(texts, raw.is_null().to_pylist())]
-            columns = [c for k, c in enumerate(batch.columns) if k != at]
-            columns += [ids.is_null().cast(pa.int32()), ids.fill_null(0), pa.array([_hash(b"T", t)[0] for t in texts], pa.int64()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
+            nul, doc, k1 = (batch.column(k).to_pylist() for k in range(3))
+            for z, d, k, text in zip(nul, doc, k1, as_bytes_or_empty(batch.column(3))):
+                seen: set[bytes] = set()
+                for number, s in lines_of(text):
+                    h = digest(s)
+                    if h not in seen:  # only the first of a document can be the first of all
+                        seen.add(h)
+                        lines.append(s)
+                        digests.append(h)
+                        places.append((z, d, k, number))
+                        held += len(s) + 1
+                        if held >= CHUNK:
+                            yield made()
+                            lines, digests, places, held = [], [], [], 0
+        if lines:
+            yield made()
 
-    return flat.mapInArrow(run, schema), names
+    return run
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, own, place) sorted by key and own: own and place of the rows at keys that more than one line has. Holds one batch
+    and one row for each place, however many rows a key has."""
+    key_at, own_at, places, many = None, None, np.zeros(0, np.int32), False
     for batch in batches:
-        ids = batch.column(0)
-        nul, doc = ids.is_null().cast(pa.int32()).to_pylist(), ids.fill_null(0).to_pylist()
-        texts = as_bytes_or_empty(batch.column(1))
-        for k in range(0, len(texts), 2000):
-            out = []
-            for z, d, t in zip(nul[k : k + 2000], doc[k : k + 2000], texts[k : k + 2000]):
-                k1, seen = _hash(b"T", t)[0], set()
-                for number, s in lines_of(t):
-                    if s not in seen:  # only the first of a document can be the first of all
-                        seen.add(s)
-                        out.append((*_hash(b"L", s), z, d, k1, number))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()])], ["h1", "h2", "nul", "doc", "k1", "line"])
-
-
-def _window_rows(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes_or_empty(batch.column(1))
-            for k in range(0, len(texts), 500):
-                lines = {s for t in texts[k : k + 500] for _, s in lines_of(t) if len(s) >= least}
-                keys, owners, places = [], [], []
-                for s in lines:
-                    if s.isascii() or len(s.decode()) >= least:
-                        own = window_keys(s)
-                        keys += [key for key, _ in own]
-                        places += [place for _, place in own]
-                        owners += [_hash(b"L", s)[0]] * len(own)
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(owners, pa.int64()), pa.array(places, pa.int32())], ["key", "h1", "place"])
-
-    return run
+        if not batch.num_rows:
+            continue
+        key, own, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        if key_at is not None and key[0] == key_at:  # goes on with the last key: its held rows, or one for all that it had
+            before = places if not many else np.zeros(1, np.int32)
+            fresh = np.r_[np.full(len(before), not many), np.ones(len(key), bool)]
+            key, own, place = np.r_[np.full(len(before), key_at), key], np.r_[np.full(len(before), own_at), own], np.r_[before, place]
+        else:
+            fresh, many = np.ones(len(key), bool), False
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        several = np.logical_or.reduceat(np.r_[False, (own[1:] != own[:-1]) & (key[1:] == key[:-1])], starts)
+        several[0] |= many
+        tell = np.repeat(several, np.diff(np.r_[starts, len(key)])) & fresh
+        yield pa.RecordBatch.from_arrays([pa.array(own[tell]), pa.array(place[tell])], ["own", "place"])
+        last = starts[-1]
+        key_at, own_at, many = key[last], own[last], bool(several[-1])
+        places = np.unique(place[last:]) if not many else places
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (nul, doc, k1, text, wanted): the variants of the wanted lines."""
     names = ["v1", "v2", "role", "h1", "h2", "nul", "doc", "k1", "line", "text"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-    packer = zstandard.ZstdDecompressor()
+    held: list[tuple] = []
+    rows = 0
+
+    def made() -> pa.RecordBatch:
+        sizes = [len(x[0]) for x in held]
+        v1, v2 = (np.concatenate([x[k] for x in held]).view(np.int64) for k in (0, 1))
+        rest = [np.repeat(np.array([x[k] for x in held], t), sizes) for k, t in zip(range(2, 9), (np.int32, np.int64, np.int64, np.int32, np.int64, np.int64, np.int32))]
+        texts = pa.array([x[9] for x in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+        return pa.RecordBatch.from_arrays([pa.array(v1), pa.array(v2), *map(pa.array, rest), texts], names)
+
     for batch in batches:
-        out = []
-        for nul, doc, k1, packed, wanted in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            lines = packer.decompress(packed).split(b"\n")
+        for nul, doc, k1, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3)), as_bytes_or_empty(batch.column(3)), batch.column(4).to_pylist()):
+            parts = text.split(b"\n")
             for w in wanted:
-                text = lines[w["line"]].strip().decode()
-                for v1, v2, role in deletions(text, set(w["places"])):
-                    out.append((v1, v2, role, w["h1"], w["h2"], nul, doc, k1, w["line"], None if role else text))
-                    if len(out) >= 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                        out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                line = parts[w["line"]].strip().decode("utf-8", "replace")
+                for v1, v2, role in deletions(line, w["places"]):
+                    held.append((v1, v2, role, w["h1"], w["h2"], nul, doc, k1, w["line"], None if role else line))
+                    rows += len(v1)
+                    if rows >= 50_000:
+                        yield made()
+                        held, rows = [], 0
+    if held:
+        yield made()
 
 
 def within_one_edit(a: str, b: str) -> bool:
@@ -211,19 +238,17 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["h1", "h2"]).filter(pa.array(close, pa.bool_()))
 
 
-def near_lines(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
+def near_lines(texts: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2) of the lines that are within one edit of a line that first stands earlier."""
-    windows = docs.mapInArrow(_window_rows(least), "key long, h1 long, place int")
-    shared = materialize(windows.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))
-    candidates = windows.join(shared, "key", "left_semi").groupBy("h1").agg(F.collect_set("place").alias("places"))
-    by_doc = (
-        firsts.join(candidates, "h1")
-        .groupBy("nul", "doc", "k1")
-        .agg(F.collect_list(F.struct("line", "h1", "h2", "places")).alias("wanted"))
-    )
-    one = keyed.where("packed is not null").select("nul", "doc", "k1", "packed")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = lines.where("keys is not null").select("own", F.posexplode("keys").alias("place", "key")).select("key", "own", "place")
+    candidates = (
+        windows.repartition(parts, "key").sortWithinPartitions("key", "own").mapInArrow(_met, "own long, place int")
+        .groupBy("own").agg(F.expr("bit_or(shiftleft(1, place))").alias("places"))
+    )
+    by_doc = firsts.join(candidates, "own").groupBy("nul", "doc", "k1").agg(F.collect_list(F.struct("line", "h1", "h2", "places")).alias("wanted"))
     made = materialize(
-        one.join(by_doc, ["nul", "doc", "k1"])
+        texts.join(by_doc, ["nul", "doc", "k1"]).select("nul", "doc", "k1", "text", "wanted")
         .mapInArrow(_variants, "v1 long, v2 long, role int, h1 long, h2 long, nul int, doc long, k1 long, line int, text string")
     )
     own = F.struct("nul", "doc", "k1", "line", "h1", "h2")
@@ -242,74 +267,77 @@ def near_lines(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, least: int)
     return both.mapInArrow(_verified, "h1 long, h2 long").distinct()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, counts: bool = True, emptied: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1, counts: bool = True, emptied: bool = True) -> DataFrame:
     """``docs`` with lines dropped that repeat, or nearly repeat, an earlier line; with ``counts`` also n_lines and n_dropped (long).
     Rows that had lines and lose all of them stay only if ``emptied``.
 
     Lines end at \\n and are compared without ASCII white space at their ends; blank lines always stay and aren't counted. A line
-    goes if an equal line stands earlier, or, from ``least`` code points on, a line within one edit (a code point inserted, deleted
-    or replaced) first stands earlier, be that one kept or not. Earlier is by doc_id (nulls last), then by the text's hash for
-    rows of one id, then by line. Repeated rows (same id, same text) are one document and keep the same lines. A null text
-    stays null; an empty table gives no rows. Other columns stay as they are.
+    goes if an equal line stands earlier, or if a line within one edit (a code point inserted, deleted or replaced) first stands
+    earlier, be that one kept or not. The bound is one edit at every length; a caller may set it to none for lines of fewer
+    than ``least`` code points. Earlier is by doc_id (nulls last), then by the text's hash for rows of one id, then by line. Repeated
+    rows (same id, same text) are one document and keep the same lines. A null text stays null; an empty table gives no rows.
+    Other columns stay as they are.
 
     Lines travel as 128-bit hashes. All lines emit their variants without one of a few windows; only lines that share one with another line
     emit single deletions, and only in that window, with their texts. Equal variants meet in aggregates that keep the earliest, so
     no group of lines is gathered or paired; each line is then checked against the earliest it met by edit distance.
     """
     ship(docs.sparkSession)
-    pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    place = F.struct("nul", "doc", "k1", "line")
-    firsts = materialize(
-        pair.mapInArrow(_positions, "h1 long, h2 long, nul int, doc long, k1 long, line int")
-        .groupBy("h1", "h2").agg(F.min(place).alias("p")).select("h1", "h2", "p.*")
-    )
-    keyed, names = _keyed(docs, id_col, text_col)
+    flat, names = positional(docs)
+    own, at = (f"c{names.index(c)}" for c in (id_col, text_col))
+    flat = flat.withColumn(at, F.col(at).cast("string"))
+    doc = F.col(own).cast("long")
+    keyed = flat.select("*", doc.isNull().cast("int").alias("nul"), F.coalesce(doc, F.lit(0).cast("long")).alias("doc"), F.xxhash64(at).alias("k1"))
+    texts = keyed.where(F.col(at).isNotNull()).select("nul", "doc", "k1", F.col(at).alias("text"))
+    lines = materialize(texts.mapInArrow(_lines(least), _LINES))
+    place = F.struct("nul", "doc", "k1", "line", "own")
+    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("p")).select("h1", "h2", "p.*"))
     kept = (
-        firsts.join(near_lines(pair, keyed, firsts, least), ["h1", "h2"], "left_anti")
+        firsts.join(near_lines(texts, lines, firsts), ["h1", "h2"], "left_anti")
         .groupBy("nul", "doc", "k1")
         .agg(F.collect_list("line").alias("lines"))
     )
-    joined = keyed.join(kept, ["nul", "doc", "k1"], "left").drop("nul", "doc", "k1")
-    at = names.index(text_col)
-    others = [f for f in joined.schema.fields if f.name not in ("packed", "lines")]
-    schema = T.StructType([*others, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    joined = keyed.join(kept, ["nul", "doc", "k1"], "left").select(*flat.columns, "lines")
+    schema = T.StructType([*flat.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
+    columns, made = flat.columns, schema.names
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdDecompressor()
         for batch in batches:
             texts, n, gone = [], [], []
-            for packed, lines in zip(batch.column("packed").to_pylist(), batch.column("lines").to_pylist()):
-                if packed is None:
+            for text, stay in zip(as_bytes(batch.column(at)), batch.column("lines").to_pylist()):
+                if text is None:
                     texts.append(None)
                     n.append(0)
                     gone.append(0)
                     continue
-                stay, parts = set(lines or ()), packer.decompress(packed).split(b"\n")
-                out = [p for k, p in enumerate(parts) if k in stay or not p.strip()]
-                texts.append(b"\n".join(out))
-                n.append(sum(1 for p in parts if p.strip()))
+                stay, parts = set(stay or ()), text.split(b"\n")
+                solid = [bool(p.strip()) for p in parts]
+                out = [p for k, p in enumerate(parts) if not solid[k] or k in stay]
+                texts.append(text if len(out) == len(parts) else b"\n".join(out))
+                n.append(sum(solid))
                 gone.append(len(parts) - len(out))
-            out = pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [f.name for f in schema.fields])
+            rest = [pa.array(texts, pa.binary()).cast(pa.string()) if c == at else batch.column(c) for c in columns]
+            out = pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], made)
             yield out if emptied else out.filter(pa.array([not a or b < a for a, b in zip(n, gone)], pa.bool_()))
 
     done = joined.mapInArrow(rebuild, schema)
-    columns = [F.col("text" if k == at else f"c{k}").alias(name) for k, name in enumerate(names)]
-    return done.select(*columns, *([F.col("n_lines"), F.col("n_dropped")] if counts else []))
+    return done.select(*[F.col(c).alias(name) for c, name in zip(columns, names)], *(["n_lines", "n_dropped"] if counts else []))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-ORACLE = rf"""
+ORACLE = r"""
 WITH u AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents
 ), l AS (
   SELECT *, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s FROM u
 ), f AS (
-  SELECT s, length(s) AS n, min({{'doc': doc_id, 'line': line}}) AS p FROM l WHERE s <> '' GROUP BY s
+  SELECT s, length(s) AS n, min({'doc': doc_id, 'line': line}) AS p FROM l WHERE s <> '' GROUP BY s
 ), d AS (
-  SELECT *, n // 2 AS h, (n - 1) // 2 AS g FROM f WHERE n >= {LEAST}
+  SELECT *, n // 2 AS h, (n - 1) // 2 AS g FROM f
 ), same AS (
   SELECT a.s AS x, b.s AS y FROM d a JOIN d b ON a.n = b.n AND left(a.s, a.h) = left(b.s, b.h) WHERE a.s <> b.s
   UNION SELECT a.s, b.s FROM d a JOIN d b ON a.n = b.n AND right(a.s, a.h) = right(b.s, b.h) WHERE a.s <> b.s
@@ -325,7 +353,7 @@ WITH u AS (
 gone AS (
   SELECT DISTINCT n.x AS s FROM both_ways n JOIN f a ON a.s = n.x JOIN f b ON b.s = n.y WHERE b.p < a.p
 ), k AS (
-  SELECT l.*, l.s = '' OR (f.p = {{'doc': l.doc_id, 'line': l.line}} AND gone.s IS NULL) AS keep
+  SELECT l.*, l.s = '' OR (f.p = {'doc': l.doc_id, 'line': l.line} AND gone.s IS NULL) AS keep
   FROM l LEFT JOIN f ON f.s = l.s LEFT JOIN gone ON gone.s = l.s
 )
 SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (keep), '') AS text,

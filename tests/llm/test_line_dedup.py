@@ -1,6 +1,8 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from parity.llm import line_dedup as L
@@ -24,7 +26,7 @@ def test_one_edit():
         assert L.within_one_edit(a, b) == near == within_one(a, b)
 
 
-def brute(docs, least=L.LEAST):
+def brute(docs, least=1):
     """docs: (doc_id, text) with distinct ids. What stays of each text."""
     white = " \t\n\x0b\x0c\r"
     first = {}
@@ -46,12 +48,12 @@ def brute(docs, least=L.LEAST):
 
 def made(seed, n):
     r = random.Random(seed)
-    pool = ["".join(r.choice("abcé ") for _ in range(r.choice((3, 19, 20, 21, 40)))) + "." for _ in range(12)]
+    pool = ["".join(r.choice("abcé ") for _ in range(r.choice((0, 1, 2, 3, 7, 19, 40)))) + "." for _ in range(12)]
 
     def line():
         s = list(r.choice(pool))
         for _ in range(r.choice((0, 0, 1, 1, 2))):
-            k = r.randrange(len(s))
+            k = r.randrange(len(s) + 1)
             s[k : k + r.choice((0, 1))] = r.choice(("", "x", "é", "aa"))
         return r.choice(("", " ", "\t")) + "".join(s) + r.choice(("", " "))
 
@@ -65,35 +67,68 @@ def test_against_brute_force(spark, seed):
     assert {r.doc_id: r.text for r in L.line_dedup(df).collect()} == brute(docs)
 
 
-def test_long_lines_use_sums_and_agree(monkeypatch):
-    monkeypatch.setattr(L, "LONG", 25)
+def test_a_least_length(spark):
+    docs = made(11, 40)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in L.line_dedup(df, least=20).collect()} == brute(docs, 20)
+
+
+def keys_of(line):
+    x = L.code_points(line)
+    return set(L.window_keys(L.Hashes(x, 0), np.zeros(1, np.int64), np.array([len(x)]))[0].tolist())
+
+
+def test_variants_meet_just_where_lines_are_within_one_edit():
     r = random.Random(7)
-    base = "".join(r.choice("abcdefgh") for _ in range(300))
-    texts = [base, base[:150] + base[151:], base[:10] + "é" + base[10:], base[:-1] + "ZZ", "x" * 26, "x" * 25, "x" * 27, base[::-1]]
-    for a in texts:
-        sums = L._Sums(a)
-        for b in texts:
-            if len(a) <= len(b) and a != b:
-                keys = {k for k, p in L.window_keys(a.encode())} & {k for k, p in L.window_keys(b.encode())}
-                assert bool(keys) or not within_one(a, b)
-        assert sums.n == len(a)
-    docs = [(k, t) for k, t in enumerate(texts)]
-    got = {}
-    for k, t in docs:  # the parts that run in workers, with the changed bound
-        places = {p for _, p in L.window_keys(t.encode())}
-        got[k] = L.deletions(t, places)
-    same = {k: {(x, y) for x, y, r in v if r == 2} for k, v in got.items()}
-    less = {k: {(x, y) for x, y, r in v if r == 1} for k, v in got.items()}
-    own = {k: {(x, y) for x, y, r in v if r == 0} for k, v in got.items()}
-    near = {(a, b) for a in got for b in got if a < b and (same[a] & same[b] or own[a] & less[b] or less[a] & own[b])}
-    assert near == {(a, b) for a, x in docs for b, y in docs if a < b and within_one(x, y)}
+    texts = ["a", "b", "ab", "ba", "é", "aé", "abc", "abd", "xbc", "ac"]
+    for n in (5, 24, 300):
+        base = "".join(r.choice("abcdefgh") for _ in range(n))
+        texts += [base, base[: n // 2] + base[n // 2 + 1 :], base[:2] + "é" + base[2:], base[:-1] + "Z", base[:-1] + "ZZ", base[1:], base[::-1], "x" * n, "x" * (n + 1), "x" * (n - 1)]
+    texts = list(dict.fromkeys(texts))
+    found = {}
+    for k, t in enumerate(texts):
+        rows = {0: set(), 1: set(), 2: set()}
+        for v1, v2, role in L.deletions(t, (1 << 2 * L.WINDOWS) - 1):
+            rows[role] |= set(zip(v1.tolist(), v2.tolist()))
+        found[k] = rows
+        assert len(rows[2]) == len(t)
+    for a, x in enumerate(texts):
+        for b, y in enumerate(texts):
+            if a < b:
+                met = bool(found[a][2] & found[b][2] or found[a][0] & found[b][1] or found[a][1] & found[b][0])
+                assert met == within_one(x, y), (x, y)
+                assert keys_of(x) & keys_of(y) or not met
+
+
+def test_lines_at_a_key_are_met_in_bounded_memory():
+    r = random.Random(3)
+    rows = sorted({(k, r.choice((5, 5, 5, 6, 7)), r.randrange(8)) for k in (1, 1, 2, 3, 3, 4, 9) for _ in range(r.randrange(1, 30))})
+    rows += [(20, 5, 1), (21, 5, 1), (21, 5, 2), (22, 4, 0), (22, 8, 0)]
+    many = {k for k in {x[0] for x in rows} if len({x[1] for x in rows if x[0] == k}) > 1}
+    for size in (1, 2, 3, 1000):
+        cut = [rows[k : k + size] for k in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in c], pa.int64()), pa.array([x[1] for x in c], pa.int64()), pa.array([x[2] for x in c], pa.int32())], ["key", "own", "place"]) for c in cut]
+        got = [(o, p) for b in L._met(iter(batches)) for o, p in zip(*(c.to_pylist() for c in b.columns))]
+        assert set(got) == {x[1:] for x in rows if x[0] in many} and len(got) == sum(x[0] in many for x in rows)
+
+
+def test_what_a_task_forgets_is_emitted_again(spark, monkeypatch):
+    lines = [b"line %d" % (k % 50) for k in range(400)]
+    monkeypatch.setattr(L, "CHUNK", 64)
+    for slots in (2, 1 << 20):
+        monkeypatch.setattr(L, "SLOTS", slots)
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * 400, pa.int32()), pa.array(range(400), pa.int64()), pa.array([0] * 400, pa.int64()), pa.array([x.decode() for x in lines])], ["nul", "doc", "k1", "text"])
+        rows = [r for b in L._lines(1)(iter([batch])) for r in b.to_pylist()]
+        assert len(rows) == 400 and len({(r["h1"], r["h2"]) for r in rows}) == 50
+        assert {r["own"] for r in rows if r["keys"]} == {r["own"] for r in rows}
+        assert sum(r["keys"] is not None for r in rows) == 50 if slots > 2 else sum(r["keys"] is not None for r in rows) > 50
 
 
 def test_edges(spark):
-    rows = [(1, None, "a"), (2, "", "b"), (3, "x\n\n  \nx", None), (3, "x\n\n  \nx", None), (None, "x\ny", "c"), (4, "long " * 30_000 + "end", "d"), (5, "long " * 30_000 + "and", "e")]
+    rows = [(1, None, "a"), (2, "", "b"), (3, "x\n\n  \nx", None), (3, "x\n\n  \nx", None), (None, "x\nyyy", "c"), (4, "long " * 30_000 + "end", "d"), (5, "long " * 30_000 + "and", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string")
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.text, r.n_lines) for r in L.line_dedup(df, counts=False).collect()), key=str)
-    want = [(False, 1, None, "a"), (False, 2, "", "b"), (False, 3, "x\n\n  ", None), (False, 3, "x\n\n  ", None), (True, 0, "y", "c"), (False, 4, "long " * 30_000 + "end", "d"), (False, 5, "", "e")]
+    want = [(False, 1, None, "a"), (False, 2, "", "b"), (False, 3, "x\n\n  ", None), (False, 3, "x\n\n  ", None), (True, 0, "yyy", "c"), (False, 4, "long " * 30_000 + "end", "d"), (False, 5, "", "e")]
     assert got == sorted(want, key=str)
     assert L.line_dedup(df.limit(0)).count() == 0
     assert {r.doc_id for r in L.line_dedup(df, counts=False, emptied=False).collect()} == {1, 2, 3, None, 4}
