@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parity.llm._base import positional, read, ship
+from parity.llm._native import empty, let, replaced, sums
 
 #: Base patterns, leftmost and non-overlapping each. A match of ``assign`` counts where its second group has 6 characters or more;
 #: for the two others the least length is part of the pattern, which finds the same spans, as their runs are maximal.
@@ -18,92 +19,104 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: A candidate is a whole run of these characters, of WINDOW or more, with a digit and a letter.
+#: A candidate is a whole run of these characters, of WINDOW or more, with a letter, and a digit or letters of both cases. Loops give
+#: nothing back and hold no groups, so the engine of patterns needs no stack for them, however long a run is.
 _RUN = r"A-Za-z0-9+/_=-"
 WINDOW = 20
-CANDIDATE = rf"(?<![{_RUN}])(?=[{_RUN}]*+(?<=[{_RUN}]{{{WINDOW}}}))(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[{_RUN}]++"
+CANDIDATE = (
+    rf"(?<![{_RUN}])(?=[{_RUN}]*+(?<=[{_RUN}]{{{WINDOW}}}))(?=[0-9+/_=-]*+[A-Za-z])"
+    rf"(?:(?=[A-Za-z+/_=-]*+[0-9])|(?=[A-Z+/_=-]*+[a-z])(?=[a-z+/_=-]*+[A-Z]))[{_RUN}]++"
+)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character classes, the narrowest first: what a candidate must match as a whole, and the least entropy (bits) of its best window.
-CLASSES = ((r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.5), (r"^[A-Za-z0-9+/_=-]+$", 3.8))
-#: Candidates that are never reported for their entropy: words joined by signs, paths, ids of the usual forms, and stand-ins.
+CLASSES = ((r"^[0-9a-fA-F]++$", 3.0), (r"^[A-Za-z0-9]++$", 3.5), (r"^[A-Za-z0-9+/_=-]++$", 3.8))
+#: Candidates that are never reported for their entropy: ids of the usual forms, numbers, and stand-ins.
 ALLOW = (
-    r"^[A-Za-z]+([+/_=-]+[A-Za-z]+)*[+/_=-]*[0-9]{1,4}[+/_=-]*$",
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[0-9+/_=-]*[0-9][0-9+/_=-]*$",
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"^[0-9+/_=-]*+$",
     r"(?i)example|sample|placeholder|changeme|dummy|x{6,}|0{8,}|1234567",
 )
+#: Words joined by signs, paths and the like: letters and signs, then up to four digits, and signs; allowed if a capital follows a small
+#: letter no more often than in one of WORD_LETTERS characters, as in names that are made of words.
+WORDS = r"^[A-Za-z+/_=-]*+[0-9]{0,4}+[+/_=-]*+$"
+WORD_LETTERS = 6
+#: Characters of a candidate whose entropy is taken at a time, with the window that they begin.
+STRETCH = 4096
 
 
 def _spans(kind: str, text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     """array<struct<start, kind, end, value>> of the matches, by the lengths of what lies between and within them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), found.alias("value"), inner.alias("inner")
+    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    parts = F.filter(
+        F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), found.alias("value"), F.transform(inner, lambda x: F.length(x)).alias("inner")),
+        lambda x: x["value"].isNotNull(),  # what follows the last match
     )
-    step = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string,inner:string>>)").alias("out")),
-        lambda a, x: F.when(x["value"].isNull(), a).otherwise(
-            F.struct(
-                (a["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-                F.concat(
-                    a["out"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["value"])).alias("end"),
-                            x["value"].alias("value"), x["inner"].alias("inner"),
-                        )
-                    ),
-                ).alias("out"),
-            )
-        ),
-        lambda a: a["out"],
-    )
-    kept = F.filter(step, lambda x: F.length(x["inner"]) >= least)
-    out = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
-    return F.when(text.rlike(pattern), out).otherwise(empty)
+
+    def placed(p: Column) -> Column:
+        before = sums(F.transform(p, lambda x: x["gap"] + F.length(x["value"])))
+        spans = F.zip_with(p, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (at + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["inner"].alias("inner")))
+        return F.transform(F.filter(spans, lambda x: x["inner"] >= least), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
+
+    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(empty("struct<start:int,kind:int,end:int,value:string>"))
 
 
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits a character, of any ``window`` neighbouring characters; 0 for a shorter string.
+    """Largest Shannon entropy, in bits a character, of any ``window`` (31 at most) neighbouring characters; 0 for a shorter string.
 
-    One pass with incremental counts: each step takes one character in and lets one out, and the sum of
-    c * log2(c) over the counts changes by the two counts that change. Characters outside ALPHABET count as one.
+    One pass with incremental counts: each step takes one character in and lets one out, which changes two counts, kept in five
+    bits each of a few whole numbers, and the sum of c * log2(c) by what these two add to it. Characters outside ALPHABET count
+    as one. Long strings are taken in stretches that overlap by a window, so a step never looks at the whole.
     """
+    each, n_words = 12, -(-(len(ALPHABET) + 1) // 12)
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
-    at = lambda counts, k: F.element_at(counts, k + 1)
-
-    def step(a: Column, i: Column) -> Column:
-        come = place(i)
-        go = F.when(i > window, place(i - window)).otherwise(F.lit(-1))
-        weight = lambda c: F.element_at(table, c + 1)
-        n_in, n_out = at(a["counts"], come), at(a["counts"], F.greatest(go, F.lit(0)))
-        change = (weight(n_in + 1) - weight(n_in)) + F.when(go >= 0, weight(n_out - 1) - weight(n_out)).otherwise(F.lit(0.0))
-        total = F.when(come == go, a["total"]).otherwise(a["total"] + change)
-        counts = F.when(come == go, a["counts"]).otherwise(
-            F.transform(a["counts"], lambda c, k: c + (k == come).cast("int") - (k == go).cast("int"))
-        )
-        best = F.when(i >= window, F.greatest(a["best"], F.lit(math.log2(window)) - total / window)).otherwise(a["best"])
-        return F.struct(counts.alias("counts"), total.alias("total"), best.alias("best"))
-
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    places = F.when(F.length(value) >= window, F.sequence(F.lit(1), F.length(value))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(places, start, step, lambda a: a["best"])
+    weight = lambda c: F.element_at(table, c + 1)
+    words = [f"w{k}" for k in range(n_words)]
+
+    def code(c: Column) -> Column:
+        place = F.instr(F.lit(ALPHABET), c)
+        return F.struct(F.floor(place / F.lit(each)).cast("int").alias("word"), ((place % each) * 5).alias("shift"))
+
+    def count(a: Column, x: Column) -> Column:
+        return F.call_function("shiftright", F.element_at(F.array(*[a[w] for w in words]), x["word"] + 1), x["shift"]).bitwiseAND(F.lit(31)).cast("int")
+
+    def step(a: Column, x: Column) -> Column:
+        come, go = x["come"], x["go"]
+        same = (come == go) & go.isNotNull()
+        n_in, n_out = count(a, come), count(a, go)
+        change = (weight(n_in + 1) - weight(n_in)) + F.when(go.isNotNull(), weight(n_out - 1) - weight(n_out)).otherwise(F.lit(0.0))
+        total = F.when(same, a["total"]).otherwise(a["total"] + change)
+        unit = lambda y, k: F.when(y["word"] == k, F.call_function("shiftleft", F.lit(1).cast("long"), y["shift"])).otherwise(F.lit(0).cast("long"))
+        new = [(a[w] + unit(come, k) - unit(go, k)).alias(w) for k, w in enumerate(words)]
+        best = F.when(a["i"] + 1 >= window, F.greatest(a["best"], F.lit(math.log2(window)) - total / window)).otherwise(a["best"])
+        return F.struct(*new, (a["i"] + 1).alias("i"), total.alias("total"), best.alias("best"))
+
+    start = F.struct(*[F.lit(0).cast("long").alias(w) for w in words], F.lit(0).alias("i"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+
+    def of_stretch(stretch: Column) -> Column:
+        def whole(codes: Column) -> Column:
+            none = F.expr("cast(null as struct<word:int,shift:int>)")
+            pairs = F.zip_with(codes, F.slice(F.concat(F.array_repeat(none, window), codes), F.lit(1), F.size(codes)), lambda c, g: F.struct(c.alias("come"), g.alias("go")))
+            return F.aggregate(pairs, start, step, lambda a: a["best"])
+
+        return let(F.transform(F.split(stretch, ""), code), whole)
+
+    stretches = F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{1,{STRETCH + window - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
+    return F.aggregate(stretches, F.lit(0.0), lambda best, x: F.greatest(best, of_stretch(x)))
 
 
 def _entropy_spans(text: Column, base: Column, allow: Sequence[str]) -> Column:
     def reported(x: Column) -> Column:
         value = x["value"]
         least = reduce(lambda rest, c: F.when(value.rlike(c[0]), F.lit(c[1])).otherwise(rest), reversed(CLASSES), F.lit(float("inf")))
-        allowed = reduce(lambda a, b: a | b, [value.rlike(p) for p in allow], F.lit(False))
-        covered = F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        of_words = value.rlike(WORDS) & (F.regexp_count(value, F.lit("[a-z][A-Z]")) * WORD_LETTERS <= F.length(value))
+        allowed = reduce(lambda a, b: a | b, [value.rlike(p) for p in allow], of_words)
         # the entropy last: it is looked at only where nothing else has decided
-        return F.when(allowed | covered, F.lit(False)).otherwise(window_entropy(value) >= least)
+        return F.when(allowed, F.lit(False)).otherwise(window_entropy(value) >= least)
 
-    return F.filter(_spans("entropy", text, CANDIDATE), reported)
+    # Base spans are blanked out, so that what is left of a run beside them is a candidate of its own.
+    rest = replaced(text, F.array_sort(base), lambda x, at: F.repeat(F.lit("\0"), F.greatest(x["end"] - F.greatest(x["start"], at), F.lit(0))))
+    return let(rest, lambda t: F.filter(_spans("entropy", t, CANDIDATE), reported))
 
 
 def _joined(spans: Column) -> Column:
@@ -114,8 +127,8 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, text_col: str = "text", allow: Sequence[str] = ALLOW) -> DataFrame:
     """All columns of ``docs`` and ``secret_spans``: array<struct<start, kind, end, value>>, ordered by start, then kind.
 
-    Places are code points, the end exclusive. Kinds 0, 1 and 2 are the base patterns; kind 3 are candidates that overlap
-    no base span, are on no allow-list, and have a window of high entropy for their character class. A null text is
+    Places are code points, the end exclusive. Kinds 0, 1 and 2 are the base patterns; kind 3 are candidates beside
+    the base spans that are on no allow-list and have a window of high entropy for their character class. A null text is
     empty and has no spans. An own column of that name is replaced. No shuffle and no Python: one pass of expressions.
     """
     ship(docs.sparkSession)
@@ -147,15 +160,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
     own = f"c{names.index(text_col)}"
     text = F.coalesce(F.col(own).cast("string"), F.lit(""))
     # Spans come by start; one that begins within what is already masked only carries the mask on.
-    done = F.aggregate(
-        F.col("secret_spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["end"]).alias("at"),
-            F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    done = replaced(text, F.col("secret_spans"), lambda x, at: F.when(x["start"] < at, F.lit("")).otherwise(F.lit(mask)))
     new = F.when(F.size("secret_spans") > 0, done).otherwise(F.col(own))
     return scan(flat, own).withColumn(own, new).select(*flat.columns).toDF(*names)
 
