@@ -28,6 +28,8 @@ from parity.sources.files import read_csv
 TABLES_AT_ONCE = 4
 #: Keys sampled for their cells where the mode doesn't ask for samples.
 HASH_SAMPLE = 5
+#: Changed keys that go to the executors as a local table; more are found there anew.
+CHANGED_AT_ONCE = 10_000
 #: Schemas of metadata, which are no one's data.
 SYSTEM_SCHEMAS = ("information_schema",)
 
@@ -212,13 +214,16 @@ def _data(request: CatalogRequest, source: DataFrame, target: DataFrame, out: Ta
 def _rows(request: CatalogRequest, source: DataFrame, target: DataFrame, keys: list[str], values: list[str], deep: bool, out: TableResult) -> None:
     data = out.data
     classified = diff.classify(source, target, keys, values, request.null_safe_keys)
-    totals = classified.groupBy("status").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("source_rows") > 1).alias("twice_s"), F.count_if(F.col("target_rows") > 1).alias("twice_t")
-    )
-    by = {r["status"]: r for r in totals.collect()}  # four rows at most
+    full, limit, status = request.data_compare_mode == Mode.FULL, request.max_sample_rows, F.col("status")
+    samples = {"bad": (status != diff.MATCH, limit)}
+    if deep:
+        samples["changed"] = (status == diff.MISMATCH, limit if full else HASH_SAMPLE)
+    if full:
+        samples |= {"source": (status == diff.MISSING_IN_TARGET, limit), "target": (status == diff.MISSING_IN_SOURCE, limit)}
+    by, found = diff.survey(classified, keys, samples)
     n = {s: by[s]["n"] if s in by else 0 for s in (diff.MATCH, diff.MISMATCH, diff.MISSING_IN_TARGET, diff.MISSING_IN_SOURCE)}
-    data.source_duplicate_keys = sum(r["twice_s"] for r in by.values())
-    data.target_duplicate_keys = sum(r["twice_t"] for r in by.values())
+    data.source_duplicate_keys = sum(r["source_repeated"] for r in by.values())
+    data.target_duplicate_keys = sum(r["target_repeated"] for r in by.values())
     wrong = sum(n.values()) - n[diff.MATCH]
     data.row_hash_mismatch_count = wrong
     data.row_hash_mismatch_percentage = 100.0 * wrong / sum(n.values()) if sum(n.values()) else 0.0
@@ -227,23 +232,18 @@ def _rows(request: CatalogRequest, source: DataFrame, target: DataFrame, keys: l
         data.source_only_rows, data.target_only_rows, data.changed_rows = n[diff.MISSING_IN_TARGET], n[diff.MISSING_IN_SOURCE], n[diff.MISMATCH]
     if not wrong:
         return
-    limit = request.max_sample_rows
-    bad = diff.sample(classified.where(F.col("status") != diff.MATCH).select(*[col(k) for k in keys]), keys, limit)
+    bad = diff.key_frame(classified, keys, found["bad"])
     hashes = diff.classify_hashes(diff.rows_for_keys(source, bad, keys), diff.rows_for_keys(target, bad, keys), keys, values)
     text = hashes.select(key_text(keys).alias("k"), "source_hash", "target_hash", "status").orderBy("k")
     data.row_hash_mismatches = [HashMismatch(r["k"], r["source_hash"] or "", r["target_hash"] or "", r["status"]) for r in text.collect()]
-    if not deep:
-        return
-    full = request.data_compare_mode == Mode.FULL
-    keys_of = lambda status, most: diff.sample(classified.where(F.col("status") == status).select(*[col(k) for k in keys]), keys, most)
-    if full and n[diff.MISSING_IN_TARGET]:
-        data.sample_source_only = _dicts(keys_of(diff.MISSING_IN_TARGET, limit))
-    if full and n[diff.MISSING_IN_SOURCE]:
-        data.sample_target_only = _dicts(keys_of(diff.MISSING_IN_SOURCE, limit))
-    if n[diff.MISMATCH]:
-        changed = keys_of(diff.MISMATCH, limit if full else HASH_SAMPLE)
-        data.sample_changed = _dicts(changed)
-        cells = diff.changed_cells(source, target, keys, values, of=changed).orderBy(*[col(k) for k in keys], "column")
+    as_dicts = lambda rows: [{k: r[k] for k in keys} for r in rows]
+    if full:
+        data.sample_source_only, data.sample_target_only = as_dicts(found["source"]), as_dicts(found["target"])
+    if deep and found["changed"]:
+        data.sample_changed = as_dicts(found["changed"])
+        repeated = any(r["source_rows"] > 1 or r["target_rows"] > 1 for r in found["changed"])
+        changed = diff.key_frame(classified, keys, found["changed"])
+        cells = diff.changed_cells(source, target, keys, values, of=changed, repeated=repeated).orderBy(*[col(k) for k in keys], "column")
         for r in cells.collect():
             key = {k: r[k] for k in keys}
             data.sample_changed_detail.append(CellMismatch(out.schema_name, out.table, key, r["column"], r["source_value"], r["target_value"], r["source_row_hash"], r["target_row_hash"]))
@@ -266,7 +266,6 @@ def compare_frames(source: DataFrame, target: DataFrame, request: CompareRequest
     sets = column_sets(source.columns, target.columns, request.ignore_columns, case_sensitive=False)
     raw_source, raw_target = source, target
     source, target = (clean.clean_texts(clean.drop_ignored(df, request.ignore_columns), request.trim_strings, not request.case_sensitive) for df in (source, target))
-    source_all, target_all = source, target
     source = source.select(*[col(a) for a, _ in sets.common])
     target = target.select(*[col(b).alias(a) for a, b in sets.common])
     known = {c.lower(): c for c in source.columns}
@@ -274,30 +273,57 @@ def compare_frames(source: DataFrame, target: DataFrame, request: CompareRequest
         raise ValueError(f"no common column {', '.join(absent)}")
     keys = [known[k.lower()] for k in request.primary_keys]
     values = [c for c in source.columns if c not in keys]
-    out.source_row_count, out.target_row_count = source_all.count(), target_all.count()
     if request.compare_schema:
         out.column_differences = [{"type": kind, "columns": found} for kind, found in (("missing_columns_in_target", sets.missing), ("extra_columns_in_target", sets.extra)) if found]
         out.schema_match = not out.column_differences
         out.type_differences = type_differences(raw_source, raw_target, sets)
     if not sets.common:
+        out.source_row_count, out.target_row_count = raw_source.count(), raw_target.count()
         out.status, out.execution_time_seconds = verdict.outcome(out), round(time.monotonic() - began, 3)
         return out
-    if keys and request.compare_duplicates:
-        for side, df in (("source", source), ("target", target)):
-            total = diff.duplicate_totals(df, keys).first()["duplicate_rows"]
-            setattr(out, f"{side}_duplicate_rows", total)
-            if total:
-                out.duplicate_keys[side] = _dicts(diff.sample(diff.duplicate_keys(df, keys), keys, request.sample_size))
-    found = (diff.keyed_presence(source, target, keys) if keys else diff.keyless_presence(source, target, source.columns)).first()
-    out.matched_rows, out.missing_rows, out.extra_rows = found["matched"], found["missing"], found["extra"]
-    s, t = ({r["column"]: r["null_count"] for r in stats.null_counts(df).collect()} for df in (source, target))
-    out.null_differences = [{"column": c, "source_nulls": s[c], "target_nulls": t[c]} for c in source.columns if s[c] != t[c]]
-    if keys and values and request.compare_values:
-        changed = diff.changed_rows(source, target, keys, values)
-        cells = diff.changed_cells(source, target, keys, values, of=changed, tolerance=max(request.numeric_tolerance, 1e-9), all_if_none=False)
-        out.value_mismatches = cells.count()
-        if out.value_mismatches:
-            out.sample_mismatches = _dicts(cells.orderBy(*[col(k) for k in keys], "column").limit(request.sample_size))
+    nulls = [stats.null_counts(df).withColumn("side", F.lit(k)) for k, df in enumerate((source, target))]
+    counts = {(r["side"], r["column"]): r["null_count"] for r in nulls[0].unionByName(nulls[1]).collect()}
+    out.null_differences = [{"column": c, "source_nulls": counts[0, c], "target_nulls": counts[1, c]} for c in source.columns if counts[0, c] != counts[1, c]]
+    if keys:
+        _by_key(source, target, keys, values, request, out)
+    else:
+        found = diff.keyless_presence(source, target, source.columns).first()
+        out.matched_rows, out.missing_rows, out.extra_rows = found["matched"], found["missing"], found["extra"]
+        out.source_row_count, out.target_row_count = found["matched"] + found["missing"], target.count()
     out.status = verdict.outcome(out)
     out.execution_time_seconds = round(time.monotonic() - began, 3)
     return out
+
+
+def _by_key(source: DataFrame, target: DataFrame, keys: list[str], values: list[str], request: CompareRequest, out: CompareResult) -> None:
+    """Counts, presence, repeated keys and changed keys by one shuffle of both tables; cells by a second look at the changed keys."""
+    compared = values if request.compare_values else []
+    classified = diff.classify(source, target, keys, compared)
+    samples = {f"{side}_repeated": (F.col(f"{side}_rows") > 1, request.sample_size) for side in ("source", "target") if request.compare_duplicates}
+    if compared:
+        samples["changed"] = (F.col("status") == diff.MISMATCH, CHANGED_AT_ONCE)
+    by, found = diff.survey(classified, keys, samples)
+    total = lambda name, of=None: sum(r[name] for s, r in by.items() if of is None or s in of)
+    out.source_row_count, out.target_row_count = total("source_rows"), total("target_rows")
+    out.matched_rows, out.missing_rows, out.extra_rows = total("n", (diff.MATCH, diff.MISMATCH)), total("n", (diff.MISSING_IN_TARGET,)), total("n", (diff.MISSING_IN_SOURCE,))
+    if request.compare_duplicates:
+        out.source_duplicate_rows, out.target_duplicate_rows = total("source_repeated_rows"), total("target_repeated_rows")
+        for side in ("source", "target"):
+            if rows := found[f"{side}_repeated"]:
+                out.duplicate_keys[side] = [{**{k: r[k] for k in keys}, "n": r[f"{side}_rows"]} for r in rows]
+    if not compared or not found["changed"]:
+        return
+    repeated = bool(total("source_repeated", (diff.MISMATCH,)) + total("target_repeated", (diff.MISMATCH,)))
+    if total("n", (diff.MISMATCH,)) <= CHANGED_AT_ONCE:
+        changed = diff.key_frame(classified, keys, found["changed"])
+    else:
+        changed = classified.where(F.col("status") == diff.MISMATCH).select(*[col(k) for k in keys])
+    cells = diff.changed_cells(source, target, keys, values, of=changed, tolerance=max(request.numeric_tolerance, 1e-9), all_if_none=False, repeated=repeated)
+    # the count and the sample read one exchange
+    shown = cells.orderBy(*[col(k) for k in keys], "column").limit(request.sample_size).withColumn("__n", F.lit(None).cast("long"))
+    number = cells.agg(F.count(F.lit(1)).alias("__n")).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in cells.schema.fields], "__n")
+    for r in shown.unionByName(number).collect():
+        if r["__n"] is None:
+            out.sample_mismatches.append({k: v for k, v in r.asDict(recursive=True).items() if k != "__n"})
+        else:
+            out.value_mismatches = r["__n"]

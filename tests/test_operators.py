@@ -37,10 +37,47 @@ def test_null_keys_are_equal_and_can_be_left_out(spark):
     assert classified(a, b) == {None: "MISMATCH"} and classified(a, b, null_safe=False) == {None: "MATCH"}
 
 
-def test_repeated_keys_are_counted_not_multiplied(spark):
+def test_rows_of_repeated_keys_are_compared_as_multisets(spark):
     a, b = df(spark, [(1, "a", "b"), (1, "a", "b"), (1, "z", "b")]), df(spark, [(1, "a", "b"), (1, "z", "b")])
     (r,) = diff.classify(a, b, ["k"], ["x", "y"]).collect()
-    assert (r.source_rows, r.target_rows, r.status) == (3, 2, "MATCH")
+    assert (r.source_rows, r.target_rows, r.status) == (3, 2, "MISMATCH")
+    assert classified(a, a.orderBy("x", ascending=False)) == {1: "MATCH"} == classified(a.union(b), b.union(a))
+    # each side holds a row twice: neither counts nor greatest hashes alone tell these apart
+    rows = [(1, str(v), "y") for v in (103, 503)], [(1, str(v), "y") for v in (303, 503)], [(1, "103", "y")] * 2, [(1, "503", "y")] * 2
+    for x in rows:
+        for y in rows:
+            want = "MATCH" if x == y else "MISMATCH"
+            assert classified(df(spark, x), df(spark, y)) == {1: want}
+            assert [r.status for r in diff.classify_hashes(df(spark, x), df(spark, y), ["k"], ["x", "y"]).collect()] == [want]
+
+
+def test_cells_of_repeated_keys(spark):
+    a = df(spark, [(1, "same", "s"), (1, "same", "s"), (1, "p", "q"), (2, "x", "y"), (None, "m", "n"), (None, "m", "n")])
+    b = df(spark, [(1, "same", "s"), (1, "same", "s"), (1, "P", "q"), (2, "x", "Y"), (None, "m", "n"), (None, "M", "n")])
+    want = [(None, "x", "m", "M"), (1, "x", "p", "P"), (2, "y", "y", "Y")]
+    got = diff.changed_cells(a, b, ["k"], ["x", "y"]).orderBy("k", "column").collect()
+    assert [tuple(r)[:4] for r in got] == want
+    more = df(spark, [(1, str(k), "") for k in range(40)]), df(spark, [(1, str(k), "") for k in range(20, 70)])
+    assert diff.changed_cells(*more, ["k"], ["x", "y"]).count() == 20  # 20 pairs; the 10 rows that are left over have none
+    r = compare_frames(a, b, request(primary_keys="k"))
+    assert (r.status, r.value_mismatches, r.matched_rows) == (Outcome.FAIL, 3, 3) and len(r.sample_mismatches) == 3
+    moved = [(1, 1, "a"), (1, 2, "b"), (2, 1, "b"), (2, 2, "a")], [(1, 1, "b"), (1, 2, "a"), (2, 1, "a"), (2, 2, "b")]
+    x, y = (spark.createDataFrame(rows, "k int, v int, w string") for rows in moved)
+    assert compare_frames(x, y, request(primary_keys="k")).status == Outcome.FAIL
+
+
+def test_a_survey_shuffles_both_tables_once(spark):
+    a, b = (spark.range(1000).select((F.col("id") + d).alias("k"), (F.col("id") % 7 * m).alias("x")) for d, m in ((0, 1), (10, 2)))
+    classes = diff.classify(a, b, ["k"], ["x"])
+    bad = F.col("status") != diff.MATCH
+    by, found = diff.survey(classes, ["k"], {"bad": (bad, 5), "gone": (F.col("status") == diff.MISSING_IN_TARGET, 3)})
+    counts = {r["status"]: r["count"] for r in classes.groupBy("status").count().collect()}
+    assert {s: r["n"] for s, r in by.items()} == counts
+    frame = diff.survey_frame(classes, ["k"], {"bad": (bad, 5)})
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("Range (") == 2  # each table is read and shuffled once
+    assert [r["k"] for r in found["bad"]] == [0, 1, 2, 3, 4] and [r["k"] for r in found["gone"]] == [0, 1, 2]
 
 
 def test_only_keys(spark):
