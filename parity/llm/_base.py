@@ -6,14 +6,17 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Scratch tables of each application, by id, so that ``release`` can delete them.
-_WRITTEN: dict[str, list[str]] = {}
+#: Lists that collect the scratch tables written in the blocks at hand, the innermost last.
+_OWNERS: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
 
 
 #: About so many bytes go to a Python worker at a time, so that long texts need no more memory than short ones.
@@ -39,14 +42,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set, one of our own, on one machine only: a cluster must name one that all share."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='parity-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder. What is written there goes when the innermost ``owned`` block ends, and when the application does
+    in any case."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if owners := _OWNERS.get():
+        owners[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` below the shared scratch folder and read it back: cuts lineage, and survives lost executors.
 
@@ -54,16 +70,32 @@ def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
     and calls to the store whatever its size.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/parity-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "parity")
     (df.coalesce(4 * max(2, spark.sparkContext.defaultParallelism)) if narrow else df).write.option("compression", "zstd").parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this application's scratch tables. Call it when no DataFrame that reads them is needed any more."""
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        delete(spark, path)
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of scratch tables that are written in the block."""
+    tables: list[str] = []
+    token = _OWNERS.set((*_OWNERS.get(), tables))
+    try:
+        yield tables
+    finally:
+        _OWNERS.reset(token)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables that are written in the block belong to it and are deleted at its end, those of others never. A DataFrame made in
+    the block must be used up in it, or what it still reads be taken off the list that the block is given."""
+    with collected() as tables:
+        try:
+            yield tables
+        finally:
+            for path in tables:
+                delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -87,10 +119,10 @@ def as_bytes_or_empty(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in as_bytes(column)]
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (src, dst long): root is the smallest node that it reaches.
 
-    Alternating large-star and small-star rounds, each written to the shared folder. Both are joins and
+    Alternating large-star and small-star rounds, each written to the shared folder, until nothing changes. Both are joins and
     partial aggregates by node, so a node with very many links is split by adaptive skew handling and
     never gathered in one task. Links and components stay on the executors; the driver sees two numbers a round.
     """
@@ -100,30 +132,29 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         row = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")).first()
         return row["n"], row["h"]
 
-    e = materialize(
-        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), narrow=True
-    )
-    before = signature(e)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    def one_round(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(lowest, "u")
-            .where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(lowest.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        e = materialize(small, narrow=True)
-        now = signature(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle within {most_rounds} rounds")
+        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
+
+    with owned(spark) as tables:
+        e = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), narrow=True)
+        before = signature(e)
+        while before[0]:
+            e = materialize(one_round(e), narrow=True)
+            for path in tables[:-1]:
+                delete(spark, path)
+            del tables[:-1]
+            now = signature(e)
+            if now == before:
+                break
+            before = now
+        if tables:
+            rest = tables.pop()  # what the result reads; it goes to the block around
+            if len(owners := _OWNERS.get()) > 1:
+                owners[-2].append(rest)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

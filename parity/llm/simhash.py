@@ -19,7 +19,9 @@ SEED = 42
 THRESHOLD = 3
 #: Shingles hashed at a time, so that a very long text needs bounded memory besides its words.
 CHUNK = 1 << 16
-#: A task compares about so many rows at a time (never splitting one anchor's rows), and holds so many links before it joins them.
+#: Anchors of more rows than this are split into blocks of about so many, and each two blocks meet by themselves.
+LARGE = 4096
+#: A task compares about so many rows at a time (never splitting one anchor's or two blocks' rows), and holds so many links before it joins them.
 ROWS_AT_ONCE = 1 << 21
 LINKS_AT_ONCE = 1 << 20
 
@@ -172,7 +174,14 @@ def near_links(fps: DataFrame) -> DataFrame:
     """(src, dst) links that join all fingerprints (column fp, distinct) within THRESHOLD bits to the right components."""
     placed = fps.mapInArrow(_replicate, "anchor long, fp long, home boolean")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare, "src long, dst long")
+    size = F.count(F.lit(1))
+    hot = placed.groupBy("anchor").agg(F.ceil(size / F.lit(LARGE)).cast("int").alias("blocks"), size.alias("n")).where(F.col("n") > LARGE).select("anchor", "blocks")
+    blocks, own = F.col("blocks"), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    meetings = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.xxhash64(F.col("anchor"), F.least(own, other), F.greatest(own, other)))
+    split = placed.join(materialize(hot, narrow=True), "anchor", "left").select(
+        F.explode(F.when(blocks.isNull(), F.array("anchor")).otherwise(meetings)).alias("anchor"), "fp", "home"
+    )
+    return split.repartition(n, "anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare, "src long, dst long")
 
 
 def components(classes: DataFrame) -> DataFrame:
@@ -191,7 +200,8 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives no rows; other columns of ``docs`` are not looked at.
 
     Equal fingerprints are one class, so a hot group of copies is a single row from there on. Each class goes to
-    its anchors (at most 32), anchors compare rows at home against all rows, and every task gives stars, not pairs.
+    its anchors (at most 32), anchors compare rows at home against all rows, and every task gives stars, not pairs. Anchors of
+    more than LARGE rows are split into blocks that meet two by two, so no task holds a hot anchor as a whole.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, width))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
