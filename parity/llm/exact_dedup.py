@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parity.llm._base import as_bytes_or_empty, materialize, read, ship
+from parity.llm._base import as_bytes_or_empty, lean, materialize, read, ship
 
 #: Deleted before texts are compared: [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
@@ -82,7 +82,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    local = materialize(rows.mapInArrow(_local_groups, _LOCAL))
+    local = materialize(rows.mapInArrow(lean(_local_groups), _LOCAL))
 
     order = F.struct("neg_len", "id_null", "best_id", "lid", "best_at")
     salted = Window.partitionBy("digest", "salt", "content")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parity.llm._base import as_bytes, as_bytes_or_empty, materialize, positional, read, ship
+from parity.llm._base import as_bytes, as_bytes_or_empty, lean, materialize, positional, read, ship
 
 #: Bytes of the longest context. Contexts of all shorter lengths are kept too, and escapes lead to the next shorter one.
 DEPTH = 4
@@ -21,7 +21,7 @@ NUMBERS = 1 << 23
 #: Bytes coded at a time; a longer text is coded in pieces that overlap by DEPTH bytes, so whole.
 PIECE = 1 << 17
 #: Different byte strings that a task counts before it hands them on.
-COUNTED = 1 << 21
+COUNTED = 1 << 20
 #: Bits of a symbol after all escapes.
 PLAIN_BITS = 8.0
 #: Decides how soon the score nears 1: bytes after which evidence stops adding up.
@@ -77,11 +77,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), as_bytes_or_empty(batch.column(1))):
             if text:
                 data = padded(text)
-                for at in range(0, len(text), 16 * PIECE):
-                    part = grams(data[at : at + 16 * PIECE + DEPTH])
+                for at in range(0, len(text), 4 * PIECE):
+                    part = grams(data[at : at + 4 * PIECE + DEPTH])
                     waiting.setdefault(lang, []).append(part)
                     held += len(part)
-                    if held > 32 * PIECE:
+                    if held > 4 * PIECE:
                         settle()
                         if sum(len(k) for k, _ in counts.values()) > COUNTED:
                             yield from told()
@@ -227,7 +227,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", numbe
     on holds ``numbers`` numbers at most, however many rows and languages there are."""
     spark = docs.sparkSession
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    counted = materialize(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), narrow=True)
+    counted = materialize(rows.mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), narrow=True)
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
     if not totals:
         return freeze([])
@@ -267,7 +267,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -294,7 +294,7 @@ def keep_languages(docs: DataFrame, most_bits: float, id_col: str = "doc_id", te
             batch = batch.set_column(of, batch.schema.field(of), filled)
             yield batch.filter(pa.array([lang != "und" and bits < most_bits for lang, _, bits in found], pa.bool_()))
 
-    return flat.mapInArrow(run, flat.schema).toDF(*names)
+    return flat.mapInArrow(lean(run), flat.schema).toDF(*names)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parity.llm._base import as_bytes, as_bytes_or_empty, materialize, positional, read, ship
+from parity.llm._base import as_bytes, as_bytes_or_empty, lean, materialize, positional, read, ship
 
 #: Windows into which a line is cut: a line first emits its variants without a whole window, and single deletions only
 #: within windows in which it agrees with another line outside.
@@ -243,13 +243,13 @@ def near_lines(texts: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFra
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     windows = lines.where("keys is not null").select("own", F.posexplode("keys").alias("place", "key")).select("key", "own", "place")
     candidates = (
-        windows.repartition(parts, "key").sortWithinPartitions("key", "own").mapInArrow(_met, "own long, place int")
+        windows.repartition(parts, "key").sortWithinPartitions("key", "own").mapInArrow(lean(_met), "own long, place int")
         .groupBy("own").agg(F.expr("bit_or(shiftleft(1, place))").alias("places"))
     )
     by_doc = firsts.join(candidates, "own").groupBy("nul", "doc", "k1").agg(F.collect_list(F.struct("line", "h1", "h2", "places")).alias("wanted"))
     made = materialize(
         texts.join(by_doc, ["nul", "doc", "k1"]).select("nul", "doc", "k1", "text", "wanted")
-        .mapInArrow(_variants, "v1 long, v2 long, role int, h1 long, h2 long, nul int, doc long, k1 long, line int, text string")
+        .mapInArrow(lean(_variants), "v1 long, v2 long, role int, h1 long, h2 long, nul int, doc long, k1 long, line int, text string")
     )
     own = F.struct("nul", "doc", "k1", "line", "h1", "h2")
     earliest = made.groupBy("v1", "v2").agg(*[F.min(F.when(F.col("role") == r, own)).alias(f"e{r}") for r in range(3)])
@@ -264,7 +264,7 @@ def near_lines(texts: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFra
     texts = made.where("role = 0").select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
     others = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("text").alias("o_text"))
     both = pairs.join(texts, ["h1", "h2"]).join(others, ["o1", "o2"]).select("h1", "h2", "text", "o_text")
-    return both.mapInArrow(_verified, "h1 long, h2 long").distinct()
+    return both.mapInArrow(lean(_verified), "h1 long, h2 long").distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1, counts: bool = True, emptied: bool = True) -> DataFrame:
@@ -289,7 +289,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc = F.col(own).cast("long")
     keyed = flat.select("*", doc.isNull().cast("int").alias("nul"), F.coalesce(doc, F.lit(0).cast("long")).alias("doc"), F.xxhash64(at).alias("k1"))
     texts = keyed.where(F.col(at).isNotNull()).select("nul", "doc", "k1", F.col(at).alias("text"))
-    lines = materialize(texts.mapInArrow(_lines(least), _LINES))
+    lines = materialize(texts.mapInArrow(lean(_lines(least)), _LINES))
     place = F.struct("nul", "doc", "k1", "line", "own")
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("p")).select("h1", "h2", "p.*"))
     kept = (
@@ -321,7 +321,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], made)
             yield out if emptied else out.filter(pa.array([not a or b < a for a, b in zip(n, gone)], pa.bool_()))
 
-    done = joined.mapInArrow(rebuild, schema)
+    done = joined.mapInArrow(lean(rebuild), schema)
     return done.select(*[F.col(c).alias(name) for c, name in zip(columns, names)], *(["n_lines", "n_dropped"] if counts else []))
 
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parity.llm._base import as_bytes_or_empty, materialize, read, ship
+from parity.llm._base import as_bytes_or_empty, lean, materialize, read, ship
 from parity.llm._vocab import LETTERS, vocabulary
 
 #: Tokens of a sequence, and the id that closes each document.
@@ -27,7 +27,7 @@ UNIT = 16
 #: Columns are sought until the best would save less than this share; the program is then within it of its optimum.
 GAP = 5e-4
 #: Words, and pre-tokens, whose ids a worker remembers at least, and the longest that it remembers.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 LONGEST = 40
 
 # Normaliser and pre-tokenizer of the files whose pre-tokens are made here. Their tokens never hold or look across white space.
@@ -184,7 +184,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if name == "class" else pa.int64()) for x, name in zip(columns, names)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _PIECES)
+    return rows.mapInArrow(lean(run), _PIECES)
 
 
 def _knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -344,7 +344,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     ranked = made.join(before, (F.col("class") == F.col("b_class")) & (F.col("part") == F.col("b_part"))).select("class", (F.col("before") + F.col("at")).alias("rank"), *keep)
-    placed = ranked.mapInArrow(place, "sequence_id long, order long, slot long, " + ", ".join(f"{x} long" for x in keep))
+    placed = ranked.mapInArrow(lean(place), "sequence_id long, order long, slot long, " + ", ".join(f"{x} long" for x in keep))
     so_far = Window.partitionBy("sequence_id").orderBy("order", "slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(so_far), F.lit(0).cast("long"))).select(*keep, "sequence_id", "offset")
 

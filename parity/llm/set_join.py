@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parity.llm._base import as_bytes_or_empty, materialize
+from parity.llm._base import as_bytes_or_empty, lean, materialize
 
 SEED = 42
 #: Of 1 / SAMPLE of the texts, shingles that stand in HOT or more come last in the order of prefixes, at most MOST_HOT of them.
@@ -155,7 +155,7 @@ def similar_texts(texts: DataFrame, width: int, labels: Callable[[DataFrame], Da
                 tokens = np.concatenate([shingle_set(x, width) for x in texts_of[k : k + 200]])
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], ["token"])
 
-    counted = texts.where(F.pmod("d", F.lit(SAMPLE)) == 0).select("text").mapInArrow(sampled, "token long").groupBy("token").count()
+    counted = texts.where(F.pmod("d", F.lit(SAMPLE)) == 0).select("text").mapInArrow(lean(sampled), "token long").groupBy("token").count()
     found = counted.where(F.col("count") >= HOT).orderBy(F.desc("count"), "token").limit(MOST_HOT).select("token").toArrow()
     hot = spark.sparkContext.broadcast(np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64)))
 
@@ -169,8 +169,8 @@ def similar_texts(texts: DataFrame, width: int, labels: Callable[[DataFrame], Da
                 columns = [np.concatenate(firsts).view(np.int64), np.repeat(np.array(ids, np.int64), lengths), np.repeat([len(x) for x in sets], lengths)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "d", "n"])
 
-    placed = texts.select("d", "text").mapInArrow(prefixes, "token long, d long, n long")
-    met = materialize(placed.repartition(n_parts, "token").sortWithinPartitions("token", "d").mapInArrow(_pairs_and_crowds, "kind int, d long, e long, n long"), narrow=True)
+    placed = texts.select("d", "text").mapInArrow(lean(prefixes), "token long, d long, n long")
+    met = materialize(placed.repartition(n_parts, "token").sortWithinPartitions("token", "d").mapInArrow(lean(_pairs_and_crowds), "kind int, d long, e long, n long"), narrow=True)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,17 +181,17 @@ def similar_texts(texts: DataFrame, width: int, labels: Callable[[DataFrame], Da
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.select("d", "e").distinct(), narrow=True)
         wanted = pairs.select("d").union(pairs.select("e")).distinct()
-        sets = materialize(texts.join(wanted, "d", "left_semi").dropDuplicates(["d"]).select("d", "text").mapInArrow(packed, "d long, n long, sketch binary, own binary"))
+        sets = materialize(texts.join(wanted, "d", "left_semi").dropDuplicates(["d"]).select("d", "text").mapInArrow(lean(packed), "d long, n long, sketch binary, own binary"))
         short = pairs.join(sets.select("d", "n", "sketch"), "d").join(sets.select(F.col("d").alias("e"), F.col("n").alias("m"), F.col("sketch").alias("other")), "e")
-        pairs = materialize(short.select("d", "e", "n", "m", "sketch", "other").mapInArrow(_possible, "d long, e long"), narrow=True)
+        pairs = materialize(short.select("d", "e", "n", "m", "sketch", "other").mapInArrow(lean(_possible), "d long, e long"), narrow=True)
         sets = sets.select("d", "own")
         others = sets.toDF("e", "other")
-        return materialize(pairs.join(sets, "d").join(others, "e").select("d", "e", "own", "other").mapInArrow(_verified, "d long, e long"), narrow=True)
+        return materialize(pairs.join(sets, "d").join(others, "e").select("d", "e", "own", "other").mapInArrow(lean(_verified), "d long, e long"), narrow=True)
 
     links = checked(met.where("kind = 0"))
     crowds = met.where("kind = 1").select(F.col("e").alias("token"), "d", "n")
     if crowds.isEmpty():
         return links
     labelled = crowds.join(labels(links), "d").select("token", "label", "d", "n")
-    rest = labelled.repartition(n_parts, "token").sortWithinPartitions("token", "label", "d").mapInArrow(_across, "kind int, d long, e long, n long")
+    rest = labelled.repartition(n_parts, "token").sortWithinPartitions("token", "label", "d").mapInArrow(lean(_across), "kind int, d long, e long, n long")
     return links.unionByName(checked(rest))

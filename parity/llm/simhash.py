@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parity.llm._base import as_bytes_or_empty, connected_components, materialize, positional, read, ship
+from parity.llm._base import as_bytes_or_empty, connected_components, lean, materialize, positional, read, ship
 from parity.llm.set_join import similar_texts
 
 SEED = 42
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _syndromes(x: np.ndarray) -> np.ndarray:
@@ -172,7 +172,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(fps: DataFrame) -> DataFrame:
     """(src, dst) links that join all fingerprints (column fp, distinct) within THRESHOLD bits to the right components."""
-    placed = fps.mapInArrow(_replicate, "anchor long, fp long, home boolean")
+    placed = fps.mapInArrow(lean(_replicate), "anchor long, fp long, home boolean")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.count(F.lit(1))
     hot = placed.groupBy("anchor").agg(F.ceil(size / F.lit(LARGE)).cast("int").alias("blocks"), size.alias("n")).where(F.col("n") > LARGE).select("anchor", "blocks")
@@ -181,7 +181,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     split = placed.join(materialize(hot, narrow=True), "anchor", "left").select(
         F.explode(F.when(blocks.isNull(), F.array("anchor")).otherwise(meetings)).alias("anchor"), "fp", "home"
     )
-    return split.repartition(n, "anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare, "src long, dst long")
+    return split.repartition(n, "anchor").sortWithinPartitions("anchor", "fp").mapInArrow(lean(_compare), "src long, dst long")
 
 
 def components(classes: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             fps = [fingerprint(x, width) for x in as_bytes_or_empty(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
 
-    made = materialize(flat.select(key.alias("key"), text.cast("string").alias("text")).mapInArrow(run, "key struct<nul:boolean,doc:bigint,k1:bigint>, fp long"))
+    made = materialize(flat.select(key.alias("key"), text.cast("string").alias("text")).mapInArrow(lean(run), "key struct<nul:boolean,doc:bigint,k1:bigint>, fp long"))
     rows = made.groupBy("fp").agg(F.min("key").alias("key"))
     by_text = made.groupBy(F.col("key.k1").alias("d")).agg(F.min("fp").alias("fp"))
     by_bits = materialize(near_links(rows.select("fp")), narrow=True)

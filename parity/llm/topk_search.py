@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parity.llm._base import materialize, read, ship
+from parity.llm._base import lean, materialize, read, ship
 
 #: Vectors of a block; blocks of a bucket, and queries of a chunk: what one task holds.
 BLOCK = 128
@@ -125,7 +125,7 @@ def topk_search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int =
     usable = vectors.where(finite)
     as_rows = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialize(as_rows(usable).repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id").mapInArrow(_blocks, _BLOCKS))
+    blocks = materialize(as_rows(usable).repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id").mapInArrow(lean(_blocks), _BLOCKS))
     queries = as_rows(usable.where(is_query)).groupBy("vec_id").agg(F.min("v").alias("v"))
     chunks, buckets = max(1, -(-queries.count() // CHUNK)), max(1, -(-blocks.count() // GROUP))
     queries = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
