@@ -23,16 +23,21 @@ ROWS_AT_ONCE = 1 << 20
 CHUNK = 1 << 16
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``width`` words; a shorter text is one shingle, one without words none."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """64-bit hashes of the shingles of ``width`` words, with repeats; a shorter text is one shingle, one without words has none."""
     words = text.lower().split()
     if not words:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, ">u8")
     shingles = (b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1)))
     digest, parts = xxhash.xxh64_digest, []
     while part := b"".join([digest(x, SEED) for x in islice(shingles, CHUNK)]):
-        parts.append(np.unique(np.frombuffer(part, ">u8").astype(np.uint64)))
-    return np.unique(np.concatenate(parts))
+        parts.append(part)
+    return np.frombuffer(b"".join(parts), ">u8")
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(text, width).astype(np.uint64))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -138,10 +143,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["d", "e"]).filter(pa.array([similar(a, b) for a, b in zip(*sets)], pa.bool_()))
 
 
-def similar_texts(texts: DataFrame, width: int, labels: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar_texts(texts: DataFrame, width: int, sketches: DataFrame, labels: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(d, e) links that, with those that ``labels`` knows, join all pairs of similar texts to the right components.
 
-    ``texts`` has d (long, one for each different text) and text. ``labels`` gets links and returns (d, label) of all texts, by the
+    ``texts`` has d (long, one for each different text) and text, ``sketches`` d with the size (n) and the sketch of its set, which rule
+    out most pairs before any text moves. ``labels`` gets links and returns (d, label) of all texts, by the
     components that these links and its own make. Texts at a shingle are paired all with all, but where they are many first
     with one of them; of those many then only the pairs that no links join yet. Every pair is checked against its sets.
     """
@@ -175,16 +181,16 @@ def similar_texts(texts: DataFrame, width: int, labels: Callable[[DataFrame], Da
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, x in zip(batch.column(0).to_pylist(), as_bytes_or_empty(batch.column(1))):
-                own = shingle_set(x, width)
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([sketch(own)], pa.binary()), pa.array([own.tobytes()], pa.binary())], ["d", "n", "sketch", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([shingle_set(x, width).tobytes()], pa.binary())], ["d", "own"])
+
+    one = sketches.select("d", "n", "sketch")
+    other = one.toDF("e", "m", "other")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.select("d", "e").distinct(), narrow=True)
-        wanted = pairs.select("d").union(pairs.select("e")).distinct()
-        sets = materialize(texts.join(wanted, "d", "left_semi").dropDuplicates(["d"]).select("d", "text").mapInArrow(lean(packed), "d long, n long, sketch binary, own binary"))
-        short = pairs.join(sets.select("d", "n", "sketch"), "d").join(sets.select(F.col("d").alias("e"), F.col("n").alias("m"), F.col("sketch").alias("other")), "e")
+        short = pairs.select("d", "e").distinct().join(one, "d").join(other, "e")
         pairs = materialize(short.select("d", "e", "n", "m", "sketch", "other").mapInArrow(lean(_possible), "d long, e long"), narrow=True)
-        sets = sets.select("d", "own")
+        wanted = pairs.select("d").union(pairs.select("e")).distinct()
+        sets = materialize(texts.join(wanted, "d", "left_semi").dropDuplicates(["d"]).select("d", "text").mapInArrow(lean(packed), "d long, own binary"))
         others = sets.toDF("e", "other")
         return materialize(pairs.join(sets, "d").join(others, "e").select("d", "e", "own", "other").mapInArrow(lean(_verified), "d long, e long"), narrow=True)
 

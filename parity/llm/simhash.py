@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parity.llm._base import as_bytes_or_empty, connected_components, lean, materialize, positional, read, ship
-from parity.llm.set_join import similar_texts
+from parity.llm.set_join import shingle_hashes, similar_texts, sketch
 
 SEED = 42
 #: Fingerprints link at so many differing bits, or fewer. Of two halves one then differs in at most one bit.
@@ -44,6 +44,15 @@ def fingerprint(text: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of hashes (big-endian): a bit is 1 if it is in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        part = hashes[k : k + CHUNK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp long) for every row; a null text is empty, and a text without words has fingerprint 0."""
     ship(docs.sparkSession)
@@ -222,10 +231,17 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x, width) for x in as_bytes_or_empty(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
-
-    made = materialize(flat.select(key.alias("key"), text.cast("string").alias("text")).mapInArrow(lean(run), "key struct<nul:boolean,doc:bigint,k1:bigint>, fp long"))
+            fps, sizes, sketches = [], [], []
+            for x in as_bytes_or_empty(batch.column(1)):
+                hashes = shingle_hashes(x, width)
+                own = np.unique(hashes.astype(np.uint64))
+                fps.append(majority(hashes))
+                sizes.append(len(own))
+                sketches.append(sketch(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["key", "fp", "n", "sketch"])
+
+    made = materialize(flat.select(key.alias("key"), text.cast("string").alias("text")).mapInArrow(lean(run), "key struct<nul:boolean,doc:bigint,k1:bigint>, fp long, n long, sketch binary"))
+    sketches = made.select(F.col("key.k1").alias("d"), "n", "sketch").dropDuplicates(["d"])
     rows = made.groupBy("fp").agg(F.min("key").alias("key"))
     by_text = made.groupBy(F.col("key.k1").alias("d")).agg(F.min("fp").alias("fp"))
     by_bits = materialize(near_links(rows.select("fp")), narrow=True)
@@ -238,7 +254,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return rows.select("fp").join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
     texts = flat.select(F.xxhash64(text).alias("d"), text.cast("string").alias("text"))
-    links = similar_texts(texts, width, lambda x: by_text.join(joined(x), "fp").select("d", F.col("root").alias("label")))
+    links = similar_texts(texts, width, sketches, lambda x: by_text.join(joined(x), "fp").select("d", F.col("root").alias("label")))
     first = rows.join(joined(links), "fp").groupBy("root").agg(F.min("key").alias("key")).select("key.*")
     keyed = flat.select("*", key.alias("key")).select(*flat.columns, "key.*")
     kept = keyed.join(first, ["nul", "doc", "k1"], "left_semi").dropDuplicates(["nul", "doc", "k1"])
