@@ -17,8 +17,6 @@ SEED = 42
 #: Of 1 / SAMPLE of the texts, shingles that stand in HOT or more come last in the order of prefixes, at most MOST_HOT of them.
 #: Every order finds all pairs; a good one has few texts at each shingle.
 SAMPLE, HOT, MOST_HOT = 8, 4, 1 << 18
-#: Up to so many texts at a shingle are paired all with all; of more, the pairs of different components only, after a first round of stars.
-SMALL = 32
 ROWS_AT_ONCE = 1 << 20
 CHUNK = 1 << 16
 
@@ -61,51 +59,74 @@ def prefix(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return own[:p] if n else own
 
 
-def _pairs_and_crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (token, d, n): pairs (0, d, other, 0) at shingles of few texts; stars at those of many, and their rows (1, d, token, n)."""
+def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (token, d): the rows, each once, at shingles that more than one text has."""
 
-    def made(token: np.ndarray, d: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def made(token: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.r_[True, (token[1:] != token[:-1]) | (d[1:] != d[:-1])]
-        token, d, n = token[new], d[new], n[new]
+        token, d = token[new], d[new]
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         sizes = np.diff(np.r_[starts, len(token)])
-        size, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
-        left = size - (np.arange(len(token)) - first)
-        few = size <= SMALL
-
-        def pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-            fits = 4 * np.maximum(n[a], n[b]) <= 5 * np.minimum(n[a], n[b])
-            yield from _rows(0, d[a[fits]], d[b[fits]], np.zeros(int(fits.sum()), np.int64))
-
-        for lag in range(1, SMALL):
-            at = np.flatnonzero(few & (left > lag))
-            yield from pairs(at, at + lag)
-        crowd = np.flatnonzero(~few)
-        others = crowd[crowd != first[crowd]]
-        yield from pairs(first[others], others)
-        yield from _rows(1, d[crowd], token[crowd], n[crowd])
+        many = np.repeat(sizes, sizes) > 1
+        yield from _rows(["token", "d"], token[many], d[many])
 
     yield from _by_group(batches, made)
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(a), 50_000):
-        x, y = a[k : k + 50_000], b[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(n[k : k + 50_000])], ["kind", "d", "e", "n"])
+def _rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(columns[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in columns], names)
+
+
+def possible(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sizes and sketches leave room for 4/5: similar sets differ in a ninth of n + m at most."""
+    fits = 4 * np.maximum(n, m) <= 5 * np.minimum(n, m)
+    return fits & (9 * np.abs(a.astype(np.int16) - b).sum(axis=1, dtype=np.int64) <= n + m)
+
+
+def _sketches(column: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.tolist()), np.uint8).reshape(-1, 64)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (token, d, n, sketch): the first text at each shingle with each other one that may be similar."""
+
+    def made(token: np.ndarray, d: np.ndarray, n: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = _sketches(packed)
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        first = np.repeat(starts, np.diff(np.r_[starts, len(token)]))
+        for k in range(0, len(token), 50_000):
+            at = np.arange(k, min(k + 50_000, len(token)))
+            at = at[at != first[at]]
+            at = at[possible(n[first[at]], n[at], own[first[at]], own[at])]
+            pairs = np.unique(np.stack([d[first[at]], d[at]], axis=1), axis=0)
+            yield from _rows(["d", "e"], pairs[:, 0], pairs[:, 1])
+
+    yield from _by_group(batches, made)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (token, label, d, n): the pairs with different labels at each shingle."""
+    """Of sorted (token, label, d, n, sketch): the pairs with different labels at each shingle that may be similar. Pairs that can't be are
+    seen by vector operations only and never become rows."""
 
-    def made(token: np.ndarray, label: np.ndarray, d: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def made(token: np.ndarray, label: np.ndarray, d: np.ndarray, n: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = _sketches(packed)
         ends = np.r_[np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)]
         runs = np.r_[np.flatnonzero((token[1:] != token[:-1]) | (label[1:] != label[:-1])) + 1, len(token)]
         at = np.arange(len(token))
         end, after = ends[np.searchsorted(ends, at, "right")], runs[np.searchsorted(runs, at, "right")]
-        for i in np.flatnonzero(after < end).tolist():
-            j = np.arange(after[i], end[i])
-            j = j[4 * np.maximum(n[i], n[j]) <= 5 * np.minimum(n[i], n[j])]
-            yield from _rows(0, np.minimum(d[i], d[j]), np.maximum(d[i], d[j]), np.zeros(len(j), np.int64))
+        lag = 1
+        alive = np.flatnonzero(at + 1 < end)
+        while len(alive):  # each row with the one that is ``lag`` places on
+            for k in range(0, len(alive), 50_000):
+                i = alive[k : k + 50_000]
+                i = i[i + lag >= after[i]]
+                j = i + lag
+                fits = possible(n[i], n[j], own[i], own[j])
+                i, j = i[fits], j[fits]
+                yield from _rows(["d", "e"], np.minimum(d[i], d[j]), np.maximum(d[i], d[j]))
+            lag += 1
+            alive = alive[alive + lag < end[alive]]
 
     yield from _by_group(batches, made)
 
@@ -129,14 +150,6 @@ def _by_group(batches: Iterator[pa.RecordBatch], made: Callable[..., Iterator[pa
         yield from made(*(np.concatenate(x) for x in zip(*rest)))
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (d, e, n, m, sketch, sketch): pairs whose sketches don't rule out 4/5, as similar sets differ in a ninth of n + m at most."""
-    for batch in batches:
-        n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 64).astype(np.int64) for k in (4, 5))
-        yield batch.select(["d", "e"]).filter(pa.array(9 * np.abs(a - b).sum(axis=1) <= n + m, pa.bool_()))
-
-
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
@@ -148,8 +161,9 @@ def similar_texts(texts: DataFrame, width: int, sketches: DataFrame, labels: Cal
 
     ``texts`` has d (long, one for each different text) and text, ``sketches`` d with the size (n) and the sketch of its set, which rule
     out most pairs before any text moves. ``labels`` gets links and returns (d, label) of all texts, by the
-    components that these links and its own make. Texts at a shingle are paired all with all, but where they are many first
-    with one of them; of those many then only the pairs that no links join yet. Every pair is checked against its sets.
+    components that these links and its own make. Texts at a shingle are paired with one of them first; then those that no links join
+    yet are compared with each other by size and sketch within the task, and only pairs that may be similar become rows. Every
+    pair is checked against its sets.
     """
     spark = texts.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -169,35 +183,28 @@ def similar_texts(texts: DataFrame, width: int, sketches: DataFrame, labels: Cal
         for batch in batches:
             own = list(dict(zip(batch.column(0).to_pylist(), as_bytes_or_empty(batch.column(1)))).items())
             for k in range(0, len(own), 200):
-                ids, sets = [d for d, _ in own[k : k + 200]], [shingle_set(x, width) for _, x in own[k : k + 200]]
-                firsts = [prefix(x, hot.value) for x in sets]
-                lengths = [len(p) for p in firsts]
-                columns = [np.concatenate(firsts).view(np.int64), np.repeat(np.array(ids, np.int64), lengths), np.repeat([len(x) for x in sets], lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "d", "n"])
+                ids, firsts = [d for d, _ in own[k : k + 200]], [prefix(shingle_set(x, width), hot.value) for _, x in own[k : k + 200]]
+                columns = [np.concatenate(firsts).view(np.int64), np.repeat(np.array(ids, np.int64), [len(p) for p in firsts])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "d"])
 
-    placed = texts.select("d", "text").mapInArrow(lean(prefixes), "token long, d long, n long")
-    met = materialize(placed.repartition(n_parts, "token").sortWithinPartitions("token", "d").mapInArrow(lean(_pairs_and_crowds), "kind int, d long, e long, n long"), narrow=True)
+    placed = texts.select("d", "text").mapInArrow(lean(prefixes), "token long, d long")
+    met = placed.repartition(n_parts, "token").sortWithinPartitions("token", "d").mapInArrow(lean(_crowds), "token long, d long")
+    met = materialize(met.join(sketches.select("d", "n", "sketch"), "d").select("token", "d", "n", "sketch"), narrow=True)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, x in zip(batch.column(0).to_pylist(), as_bytes_or_empty(batch.column(1))):
                 yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([shingle_set(x, width).tobytes()], pa.binary())], ["d", "own"])
 
-    one = sketches.select("d", "n", "sketch")
-    other = one.toDF("e", "m", "other")
-
     def checked(pairs: DataFrame) -> DataFrame:
-        short = pairs.select("d", "e").distinct().join(one, "d").join(other, "e")
-        pairs = materialize(short.select("d", "e", "n", "m", "sketch", "other").mapInArrow(lean(_possible), "d long, e long"), narrow=True)
+        pairs = materialize(pairs.distinct(), narrow=True)
         wanted = pairs.select("d").union(pairs.select("e")).distinct()
         sets = materialize(texts.join(wanted, "d", "left_semi").dropDuplicates(["d"]).select("d", "text").mapInArrow(lean(packed), "d long, own binary"))
         others = sets.toDF("e", "other")
         return materialize(pairs.join(sets, "d").join(others, "e").select("d", "e", "own", "other").mapInArrow(lean(_verified), "d long, e long"), narrow=True)
 
-    links = checked(met.where("kind = 0"))
-    crowds = met.where("kind = 1").select(F.col("e").alias("token"), "d", "n")
-    if crowds.isEmpty():
-        return links
-    labelled = crowds.join(labels(links), "d").select("token", "label", "d", "n")
-    rest = labelled.repartition(n_parts, "token").sortWithinPartitions("token", "label", "d").mapInArrow(lean(_across), "kind int, d long, e long, n long")
+    by_token = met.repartition(n_parts, "token")
+    links = checked(by_token.sortWithinPartitions("token", "d").mapInArrow(lean(_stars), "d long, e long"))
+    labelled = met.join(labels(links), "d").select("token", "label", "d", "n", "sketch")
+    rest = labelled.repartition(n_parts, "token").sortWithinPartitions("token", "label", "d").mapInArrow(lean(_across), "d long, e long")
     return links.unionByName(checked(rest))
