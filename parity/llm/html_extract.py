@@ -59,6 +59,7 @@ class Page:
         self.links: list[int] = [0]
         self.size = len(source)
         stack, at, in_link = [0], 0, 0
+        is_open: dict[str, int] = {}  # open elements by name, so that an end tag without one isn't sought in the stack
         run: list[str] = []
 
         def close() -> None:
@@ -95,11 +96,12 @@ class Page:
                     pass
                 elif name == "br":
                     run.append(" ")
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tags[stack[k]] == name:
-                            close()
-                            del stack[k:]
+                elif is_open.get(name):
+                    close()
+                    while True:  # each element is taken off once
+                        last = self.tags[stack.pop()]
+                        is_open[last] -= 1
+                        if last == name:
                             break
                 continue
             if name in RAW:
@@ -129,10 +131,11 @@ class Page:
             close()
             closes = CLOSES.get(name)
             while closes and self.tags[stack[-1]] in closes:
-                stack.pop()
+                is_open[self.tags[stack.pop()]] -= 1
             self._add(name, stack[-1], self._words(m[3]))
             if not (name == "svg" and m[0].endswith("/>")):
                 stack.append(len(self.tags) - 1)
+                is_open[name] = is_open.get(name, 0) + 1
         close()
 
     def _add(self, tag: str, parent: int, groups: tuple[int, ...]) -> None:

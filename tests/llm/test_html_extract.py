@@ -75,3 +75,18 @@ def test_query(spark, sf_dir):
 
     want = {r.page_id: article(r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     assert {r.page_id: r.text for r in H.op4_html_extraction(spark, sf_dir).collect()} == want
+
+
+def test_deep_pages_with_end_tags_of_nothing_take_time_in_proportion():
+    import time
+
+    from parity.llm.html_extract import Page
+
+    def seconds(n):
+        began = time.process_time()
+        page = Page("<div>" * n + "x" + "</nothing>" * n + "</div>" * n)
+        assert len(page.tags) == n + 2
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 40 * max(seconds(8_000), 0.01)
