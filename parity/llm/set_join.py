@@ -18,6 +18,8 @@ SEED = 42
 #: Every order finds all pairs; a good one has few texts at each shingle.
 SAMPLE, HOT, MOST_HOT = 8, 4, 1 << 18
 ROWS_AT_ONCE = 1 << 20
+#: So many ids of texts at most (8 bytes each) are sent to all executors to look their texts up.
+SENT = 1 << 20
 CHUNK = 1 << 16
 
 
@@ -198,7 +200,9 @@ def similar_texts(texts: DataFrame, width: int, sketches: DataFrame, labels: Cal
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct(), narrow=True)
-        wanted = pairs.select("d").union(pairs.select("e")).distinct()
+        wanted = materialize(pairs.select("d").union(pairs.select("e")).distinct(), narrow=True)
+        if wanted.count() <= SENT:  # else both sides are shuffled
+            wanted = F.broadcast(wanted)
         sets = materialize(texts.join(wanted, "d", "left_semi").dropDuplicates(["d"]).select("d", "text").mapInArrow(lean(packed), "d long, own binary"))
         others = sets.toDF("e", "other")
         return materialize(pairs.join(sets, "d").join(others, "e").select("d", "e", "own", "other").mapInArrow(lean(_verified), "d long, e long"), narrow=True)
