@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parity.functions.cells import NULL_TEXT, key_pairs, key_text
+from parity.functions.cells import key_pairs, key_text
 from parity.operators import clean, diff, schema, stats
 from parity.plans import verdict
 
@@ -313,4 +313,12 @@ def table_compare(spark, sf_dir):
     return spark.createDataFrame([(r.status.value, r.source_row_count, r.target_row_count, r.missing_rows, r.extra_rows, r.value_mismatches)], "status string, source_rows long, target_rows long, missing_rows long, extra_rows long, value_mismatches long")
 
 
-assert NULL_TEXT == "\x01NULL\x01"  # the oracle spells it with chr(1)
+_PAIRS = "SELECT o_custkey, o_orderstatus, o_orderpriority FROM"
+
+
+@query("repeated_key_classes", f"""SELECT o_custkey, CASE WHEN b.n IS NULL THEN 'MISSING_IN_TARGET' WHEN a.n IS NULL THEN 'MISSING_IN_SOURCE' WHEN d.n IS NULL THEN 'MATCH' ELSE 'MISMATCH' END AS status
+FROM (SELECT o_custkey, count(*) AS n FROM source GROUP BY 1) a FULL JOIN (SELECT o_custkey, count(*) AS n FROM target GROUP BY 1) b USING (o_custkey)
+LEFT JOIN (SELECT o_custkey, count(*) AS n FROM (({_PAIRS} source EXCEPT ALL {_PAIRS} target) UNION ALL ({_PAIRS} target EXCEPT ALL {_PAIRS} source)) GROUP BY 1) d USING (o_custkey)""")
+def repeated_key_classes(spark, sf_dir):
+    """Customers, of whom each has many orders, by whether their orders are the same rows, each as often."""
+    return diff.classify(*pair(spark, sf_dir), ["o_custkey"], ["o_orderstatus", "o_orderpriority"]).select("o_custkey", "status")

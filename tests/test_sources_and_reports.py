@@ -98,7 +98,7 @@ def test_command_line(spark, folders, tmp_path, capsys):
     catalogs = FolderCatalogs(spark, folders)
     base = ["validate-catalogs", "--source-catalog", "a", "--target-catalog"]
     assert cli.main([*base, "b", "--mode", "HASH", "--primary-keys", "s.t=id; u = x , y", "--csv", str(tmp_path / "o.csv")], catalogs) == 2
-    assert "a vs b -> FAIL" in capsys.readouterr().out and (tmp_path / "o.csv").exists()
+    assert "FAIL  a against b" in capsys.readouterr().out and (tmp_path / "o.csv").exists()
     assert cli.main([*base, "a", "--tables", "t"], catalogs) == 0
     assert cli.main([*base, "b", "--primary-keys", "nokey"], catalogs) == 1 and cli.main([]) == 1
     assert cli.parse_keys("s.t=a,b;; t2=c") == {"s.t": ["a", "b"], "t2": ["c"]}
