@@ -22,6 +22,8 @@ _OWNERS: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
 
 #: About so many bytes go to a Python worker at a time, so that long texts need no more memory than short ones.
 BATCH_BYTES = 8 << 20
+#: With this setting Spark deletes the shuffle files of a query when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -65,14 +67,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
-    """Write ``df`` below the shared scratch folder and read it back: cuts lineage, and survives lost executors.
+    """Write ``df`` below the shared scratch folder and read it back: cuts lineage, and survives lost executors. Its shuffle files go when
+    it is written, as nothing reads them again.
 
     ``narrow``, for tables of short rows: four tasks a core write it at most, each several partitions in turn, as each file costs a few processes
     and calls to the store whatever its size.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "parity")
-    (df.coalesce(4 * max(2, spark.sparkContext.defaultParallelism)) if narrow else df).write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.coalesce(4 * max(2, spark.sparkContext.defaultParallelism)) if narrow else df).write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -191,7 +191,8 @@ def similar_texts(texts: DataFrame, width: int, sketches: DataFrame, labels: Cal
 
     placed = texts.select("d", "text").mapInArrow(lean(prefixes), "token long, d long")
     met = placed.repartition(n_parts, "token").sortWithinPartitions("token", "d").mapInArrow(lean(_crowds), "token long, d long")
-    met = materialize(met.join(sketches.select("d", "n", "sketch"), "d").select("token", "d", "n", "sketch"), narrow=True)
+    met = materialize(met, narrow=True)  # sketches are several times wider, so they join for each use instead of being written
+    sketches = sketches.select("d", "n", "sketch")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,8 +208,8 @@ def similar_texts(texts: DataFrame, width: int, sketches: DataFrame, labels: Cal
         others = sets.toDF("e", "other")
         return materialize(pairs.join(sets, "d").join(others, "e").select("d", "e", "own", "other").mapInArrow(lean(_verified), "d long, e long"), narrow=True)
 
-    by_token = met.repartition(n_parts, "token")
+    by_token = met.join(sketches, "d").select("token", "d", "n", "sketch").repartition(n_parts, "token")
     links = checked(by_token.sortWithinPartitions("token", "d").mapInArrow(lean(_stars), "d long, e long"))
-    labelled = met.join(labels(links), "d").select("token", "label", "d", "n", "sketch")
+    labelled = met.join(labels(links).join(sketches, "d"), "d").select("token", "label", "d", "n", "sketch")
     rest = labelled.repartition(n_parts, "token").sortWithinPartitions("token", "label", "d").mapInArrow(lean(_across), "d long, e long")
     return links.unionByName(checked(rest))
