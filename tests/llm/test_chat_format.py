@@ -1,8 +1,9 @@
 import hashlib
+import random
 
 import duckdb
 
-from parity.llm.chat_format import ORACLE, as_events, chat_format, loss_spans, op7_chat_format, read_back, reconstruct, render
+from parity.llm.chat_format import DELTA, ORACLE, as_events, as_log, chat_format, loss_spans, op7_chat_format, read_back, reconstruct, render
 
 
 def log(spark, rows):
@@ -37,6 +38,34 @@ def test_edges(spark):
     assert chat_format(as_events(conv.limit(0))).count() == 0
 
 
+def test_fold_against_a_plain_version(spark):
+    r, kinds = random.Random(3), ("message", "delta", "delta", "edit", "regenerate", "seen", None)
+    rows = [(c, r.randrange(3), s, r.choice(kinds), r.choice((None, "user", "assistant")), r.choice((None, "a", "bc"))) for c in range(60) for s in range(r.randrange(12))]
+    want = []
+    for c, m in sorted({x[:2] for x in rows}):
+        done = []
+        for _, _, seq, kind, role, text in sorted(x for x in rows if x[:2] == (c, m)):
+            if kind == "message" or (not done and kind in ("delta", "edit")):
+                done.append([seq, role, text or ""])
+            elif done and kind in ("delta", "edit", "regenerate"):
+                old = done[-1]
+                new = {"delta": old[2] + (text or ""), "edit": text or "", "regenerate": ""}[kind]
+                done[-1] = [old[0], old[1] or role, new]
+        want += [(c, m, part, *x) for part, x in enumerate(done)]
+    got = reconstruct(log(spark, rows)).select("conv_id", "message_id", "part", "seq", "role", "text").collect()
+    assert sorted(map(tuple, got), key=lambda x: x[:3]) == want
+
+
+def test_log_of_repeated_rows_nulls_and_long_texts(spark):
+    long = "".join(chr(0x1F600 + k % 50) for k in range(3 * DELTA + 5))
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 2, "assistant", ""), (1, 3, None, None), (1, None, "assistant", "z")]
+    events = as_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.event for r in events.collect()} == {"message", "delta", "regenerate", "edit"}
+    turns = read_back(render(reconstruct(events))).first().turns
+    assert [(t.role, t.text) for t in turns] == [(x[2] or "", x[3] or "") for x in rows]
+    assert as_log(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
 def test_query(spark, sf_dir):
     db = duckdb.connect()
     db.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
