@@ -22,6 +22,8 @@ NUMBERS = 1 << 23
 PIECE = 1 << 17
 #: Different byte strings that a task counts before it hands them on.
 COUNTED = 1 << 20
+#: Rows of (language, least count) that are sent to all executors at most; more of them are joined by shuffles.
+SENT = 1 << 16
 #: Bits of a symbol after all escapes.
 PLAIN_BITS = 8.0
 #: Decides how soon the score nears 1: bytes after which evidence stops adding up.
@@ -233,6 +235,8 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", numbe
         return freeze([])
     share = len(totals) ** 2 * 2 * (DEPTH + 1) / numbers
     least = spark.createDataFrame([(lang, float(n * share)) for lang, n in totals.items()], "lang string, least double")
+    if len(totals) <= SENT:  # a join by language would put a common one into a single task
+        least = F.broadcast(least)
     orders = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
     strings = counted.select("lang", orders.alias("order"), "gram", "n").select("lang", "order", F.expr("gram & (shiftleft(1L, 8 * (order + 1)) - 1)").alias("string"), "n")
     strings = strings.groupBy("lang", "order", "string").agg(F.sum("n").alias("c")).join(least, "lang")

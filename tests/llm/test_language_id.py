@@ -88,6 +88,13 @@ def test_learning_counts_all_rows_and_prunes_by_share(spark):
     assert small.bits(texts) == pytest.approx(L.freeze(want).bits(texts))
 
 
+def test_more_languages_than_are_sent(spark, monkeypatch):
+    df = spark.createDataFrame([(lang, t.decode()) for lang, ts in TEXTS.items() for t in ts], "lang string, text string")
+    sent = L.learn(df).bits([b"abra zoo"])
+    monkeypatch.setattr(L, "SENT", 1)
+    assert np.array_equal(sent, L.learn(df).bits([b"abra zoo"]))
+
+
 def test_any_number_of_languages(spark):
     df = spark.createDataFrame([(f"l{k:03d}", f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 20) for k in range(200)], "lang string, text string")
     model = L.learn(df)
