@@ -93,15 +93,3 @@ def test_sketches_rule_out_no_similar_sets():
         assert left or not J.similar(a, b)
         ruled_out += not left
     assert ruled_out
-
-
-def test_counts_of_sketches_go_round():
-    r = np.random.default_rng(7)
-    for n in (900, 1100, 2500, 20000):  # about 14 and more a range
-        a = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
-        for share in (0.0, 0.02, 0.1):
-            b = np.unique(np.concatenate([a[int(n * share) :], r.integers(0, 1 << 64, int(n * share), dtype=np.uint64)]))
-            one, two = (J._sketches(np.array([J.sketch(x)], object)) for x in (a, b))
-            assert J.similar(a, b) and J.possible(np.array([len(a)]), np.array([len(b)]), one, two)[0]
-            way = (one - two) & 15
-            assert np.minimum(way, 16 - way).sum(dtype=int) <= len(np.setxor1d(a, b))
