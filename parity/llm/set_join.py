@@ -51,6 +51,19 @@ def sketch(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
 
 
+def fine_sketch(own: np.ndarray) -> bytes:
+    """As ``sketch``, with a power of two of ranges, the least with four hashes or fewer a range on average; 64 at least."""
+    bits = max(6, (-(-len(own) // 4) - 1).bit_length())
+    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_fit(n: int, m: int, a: bytes, b: bytes) -> bool:
+    """Whether the fine sketches of two sets of n and m hashes leave room for 4/5. Ranges of the finer one are added up, and capped again."""
+    ranges = min(len(a), len(b))
+    one, two = (np.minimum(np.frombuffer(x, np.uint8).reshape(ranges, -1).sum(axis=1, dtype=np.int64), 255) for x in (a, b))
+    return 9 * int(np.abs(one - two).sum()) <= n + m
+
+
 def prefix(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """What two similar sets share at least one of: all but the last 4/5 (less one) in the order of hashes, those in ``hot`` last."""
     n = len(own)
@@ -152,6 +165,12 @@ def _by_group(batches: Iterator[pa.RecordBatch], made: Callable[..., Iterator[pa
         yield from made(*(np.concatenate(x) for x in zip(*rest)))
 
 
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("n", "m", "fine", "other"))
+        yield batch.select(["d", "e"]).filter(pa.array([may_fit(*x) for x in zip(*columns)], pa.bool_()))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
@@ -161,8 +180,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_texts(texts: DataFrame, width: int, sketches: DataFrame, labels: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(d, e) links that, with those that ``labels`` knows, join all pairs of similar texts to the right components.
 
-    ``texts`` has d (long, one for each different text) and text, ``sketches`` d with the size (n) and the sketch of its set, which rule
-    out most pairs before any text moves. ``labels`` gets links and returns (d, label) of all texts, by the
+    ``texts`` has d (long, one for each different text) and text, ``sketches`` d with the size (n), the sketch and the fine sketch (fine) of
+    its set, which rule out most pairs before any text moves. ``labels`` gets links and returns (d, label) of all texts, by the
     components that these links and its own make. Texts at a shingle are paired with one of them first; then those that no links join
     yet are compared with each other by size and sketch within the task, and only pairs that may be similar become rows. Every
     pair is checked against its sets.
@@ -192,6 +211,7 @@ def similar_texts(texts: DataFrame, width: int, sketches: DataFrame, labels: Cal
     placed = texts.select("d", "text").mapInArrow(lean(prefixes), "token long, d long")
     met = placed.repartition(n_parts, "token").sortWithinPartitions("token", "d").mapInArrow(lean(_crowds), "token long, d long")
     met = materialize(met, narrow=True)  # sketches are several times wider, so they join for each use instead of being written
+    fine = sketches.select("d", "n", "fine")
     sketches = sketches.select("d", "n", "sketch")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +221,8 @@ def similar_texts(texts: DataFrame, width: int, sketches: DataFrame, labels: Cal
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct(), narrow=True)
+        both = pairs.join(fine, "d").join(fine.toDF("e", "m", "other"), "e")
+        pairs = materialize(both.mapInArrow(lean(_fitting), "d long, e long"), narrow=True)
         wanted = materialize(pairs.select("d").union(pairs.select("e")).distinct(), narrow=True)
         if wanted.count() <= SENT:  # else both sides are shuffled
             wanted = F.broadcast(wanted)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parity.llm._base import as_bytes_or_empty, connected_components, lean, materialize, positional, read, ship
-from parity.llm.set_join import shingle_hashes, similar_texts, sketch
+from parity.llm.set_join import fine_sketch, shingle_hashes, similar_texts, sketch
 
 SEED = 42
 #: Fingerprints link at so many differing bits, or fewer. Of two halves one then differs in at most one bit.
@@ -231,17 +231,19 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, sketches = [], [], []
+            fps, sizes, sketches, fine = [], [], [], []
             for x in as_bytes_or_empty(batch.column(1)):
                 hashes = shingle_hashes(x, width)
                 own = np.unique(hashes.astype(np.uint64))
                 fps.append(majority(hashes))
                 sizes.append(len(own))
                 sketches.append(sketch(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["key", "fp", "n", "sketch"])
+                fine.append(fine_sketch(own))
+            columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(fine, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "n", "sketch", "fine"])
 
-    made = materialize(flat.select(key.alias("key"), text.cast("string").alias("text")).mapInArrow(lean(run), "key struct<nul:boolean,doc:bigint,k1:bigint>, fp long, n long, sketch binary"))
-    sketches = made.select(F.col("key.k1").alias("d"), "n", "sketch").dropDuplicates(["d"])
+    made = materialize(flat.select(key.alias("key"), text.cast("string").alias("text")).mapInArrow(lean(run), "key struct<nul:boolean,doc:bigint,k1:bigint>, fp long, n long, sketch binary, fine binary"))
+    sketches = made.select(F.col("key.k1").alias("d"), "n", "sketch", "fine").dropDuplicates(["d"])
     rows = made.groupBy("fp").agg(F.min("key").alias("key"))
     by_text = made.groupBy(F.col("key.k1").alias("d")).agg(F.min("fp").alias("fp"))
     by_bits = materialize(near_links(rows.select("fp")), narrow=True)

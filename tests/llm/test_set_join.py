@@ -93,3 +93,19 @@ def test_sketches_rule_out_no_similar_sets():
         assert left or not J.similar(a, b)
         ruled_out += not left
     assert ruled_out
+
+
+def test_fine_sketches_rule_out_no_similar_sets():
+    r = np.random.default_rng(8)
+    ruled_out = 0
+    for _ in range(600):
+        n = int(r.integers(0, 3000))
+        a = r.integers(0, 1 << 64, n, dtype=np.uint64)
+        k, more = int(r.integers(0, n // 5 + 1)), int(r.integers(0, n // 5 + 1))
+        a, b = np.unique(a), np.unique(np.concatenate([a[k:], r.integers(0, 1 << 64, more, dtype=np.uint64)]))
+        left = J.may_fit(len(a), len(b), J.fine_sketch(a), J.fine_sketch(b))
+        assert left or not J.similar(a, b)
+        ruled_out += not left
+    assert ruled_out
+    close = np.arange(4000, dtype=np.uint64)  # all in one range, beyond what a byte counts
+    assert J.may_fit(4000, 4500, J.fine_sketch(close), J.fine_sketch(np.arange(4500, dtype=np.uint64)))
